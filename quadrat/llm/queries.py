@@ -15,6 +15,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrat.llm.common import new_path
+    from quadrat.llm.token_store import TokenStore
+
+    store = TokenStore(spark, new_path(spark, "tokens"))
+    return store.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).digests()
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrat.llm.mixing import mix
 
