@@ -23,6 +23,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).digests()
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrat.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrat.llm.mixing import mix
 
