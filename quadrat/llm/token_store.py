@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,24 +30,26 @@ from pyspark.sql import functions as F
 WINDOW, LEAST, MOST, MEAN = 8, 128, 4096, 512
 KEY = 16
 
-#: Characters for which the split into words below is the vocabulary's own in any
-#: version of Unicode; a text with others is given to the library whole.
-_UNSAFE = r"[^\t\n\r\x20-\x7e\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ȳΑ-ΡΣ-ωА-я‐-‧€\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf]"
-#: The splitting rule of byte-level vocabularies of this kind (a fixed value).
-_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
+#: Characters that Unicode's versions agree on; a text with others is given to the
+#: library whole, and so is one with two blanks in a row, where a split of the text
+#: depends on what follows.
+_UNSAFE = r"[^\t\n\r\x20-\x7e\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ȳΑ-ΡΣ-ωА-я‐-‧€\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf]|\s\s"
+_ENDS = ".,;:!?"
 _LOADED: dict = {}
 
 
 class Encoder:
-    """Ids of whole texts; every distinct word is encoded by the library once.
-
-    Byte-level vocabularies split a text into words before any merge, so the ids
-    of a text are those of its words in order.  That holds for the splitting rule
-    above; other vocabularies, texts with characters outside the safe set, and
-    texts that hold a special string go to the library whole.
+    """Ids of whole texts; a word already met is not encoded again.
+
+    Byte-level vocabularies split a text before any merge, among other places
+    in front of every single space or line feed, so the ids of a text are those of
+    its pieces in order, each piece with the blank in front of it.  A mark after
+    letters is split off as well.  Whatever might be split otherwise goes to the
+    library as a whole text: odd characters, blanks in a row, special strings, and
+    all texts of other vocabularies.
     """
 
-    def __init__(self, data: str, most_words: int = 400_000):
+    def __init__(self, data: str, most_words: int = 300_000):
         import json
         import re
 
@@ -59,31 +62,84 @@ class Encoder:
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         self.by_word = norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.split, self.unsafe = re.compile(_SPLIT).findall, re.compile(_UNSAFE).search
+        self.unsafe = re.compile(_UNSAFE).search
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most_words = most_words
+        self.marks = dict(zip(_ENDS, self.whole(list(_ENDS))))
+        self.of_word, self.letters = self.model.model.tokenize, _byte_letters()
+        self.feed = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def odd(self, text: str) -> bool:
+        """Whether a text must be given to the library whole."""
+        if text.isascii():
+            blanks = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+            if blanks or not text.replace("\n", "").isprintable():
+                return True
+        elif self.unsafe(text):
+            return True
+        return any(s in text for s in self.special)
+
+    def word(self, word: str) -> bytes:
+        """Ids of letters alone, with at most a space before them: one word to the merges."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1")
+        return array("I", [t.id for t in self.of_word(word.translate(self.letters))]).tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Fill ``words`` for pieces given without the space in front."""
+        if len(self.words) > self.most_words:
+            self.words, self.older = {}, self.words
+        words, older, marks, odd = self.words, self.older, self.marks, []
+        for p in pieces.difference(words):
+            if p in older:
+                words[p] = older[p]
+            elif p.isalpha():
+                words[p] = self.word(" " + p)
+            elif p[-1:] in marks and (base := p[:-1]).isalpha():
+                ids = words.get(base) or older.get(base)
+                if ids is None:
+                    words[base] = ids = self.word(" " + base)
+                words[p] = ids + marks[p[-1]]
+            elif p[:1] == "\n" and p[1:].isalpha():
+                words[p] = self.feed + self.word(p[1:])
+            else:
+                odd.append(p)
+        for k in range(0, len(odd), 20_000):
+            some = odd[k : k + 20_000]
+            words.update(zip(some, self.whole([p if p[:1] == "\n" else " " + p for p in some])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
         if not self.by_word:
             return self.whole(texts)
-        parts: list = []
-        for t in texts:
-            odd = self.unsafe(t) or any(s in t for s in self.special)
-            parts.append(None if odd else self.split(t))
-        if len(self.words) > self.most_words:
-            self.words.clear()
-        new = list({w for p in parts if p for w in p if w not in self.words})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            self.words.update(zip(some, self.whole(some)))
+        out: list = [None] * len(texts)
+        cut: dict[int, list[str]] = {}
+        for k, t in enumerate(texts):
+            if not self.odd(t):
+                cut[k] = t.replace("\n", " \n").split(" ")
+        rest = [k for k in range(len(texts)) if k not in cut]
+        for k, ids in zip(rest, self.whole([texts[k] for k in rest])):
+            out[k] = ids
+        firsts = self.whole([p[0] for p in cut.values()])
+        self._learn(set().union(*(p[1:] for p in cut.values())))
         get = self.words.__getitem__
-        odd = iter(self.whole([t for t, p in zip(texts, parts) if p is None]))
-        return [next(odd) if p is None else b"".join(map(get, p)) for p in parts]
+        for (k, p), first in zip(cut.items(), firsts):
+            del p[0]
+            out[k] = first + b"".join(map(get, p))
+        return out
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: the printable
+    ones for themselves, the others in order from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
 def _encoder(data: str) -> Encoder:
