@@ -23,6 +23,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).digests()
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrat.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrat.llm.toxicity import toxicity
 
