@@ -20,6 +20,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.most_words = most_words
         self.marks = dict(zip(_ENDS, self.whole(list(_ENDS))))
-        self.of_word, self.letters = self.model.model.tokenize, _byte_letters()
+        self.swap = _byte_letters()
         self.feed = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -84,31 +85,40 @@ class Encoder:
             return True
         return any(s in text for s in self.special)
 
-    def word(self, word: str) -> bytes:
-        """Ids of letters alone, with at most a space before them: one word to the merges."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1")
-        return array("I", [t.id for t in self.of_word(word.translate(self.letters))]).tobytes()
+    def spell(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words given in the vocabulary's byte letters: each is one word to the merges."""
+        number = attrgetter("id")
+        for tokens in map(self.model.model.tokenize, words):
+            yield array("I", map(number, tokens)).tobytes()
+
+    def letters(self, words: list[str]) -> list[str]:
+        """The byte letters of words."""
+        swap = self.swap
+        return [w if w.isascii() else w.encode().decode("latin-1").translate(swap) for w in words]
 
     def _learn(self, pieces: set[str]) -> None:
         """Fill ``words`` for pieces given without the space in front."""
         if len(self.words) > self.most_words:
             self.words, self.older = {}, self.words
-        words, older, marks, odd = self.words, self.older, self.marks, []
-        for p in pieces.difference(words):
-            if p in older:
-                words[p] = older[p]
-            elif p.isalpha():
-                words[p] = self.word(" " + p)
-            elif p[-1:] in marks and (base := p[:-1]).isalpha():
-                ids = words.get(base) or older.get(base)
-                if ids is None:
-                    words[base] = ids = self.word(" " + base)
-                words[p] = ids + marks[p[-1]]
-            elif p[:1] == "\n" and p[1:].isalpha():
-                words[p] = self.feed + self.word(p[1:])
-            else:
-                odd.append(p)
+        words, older = self.words, self.older
+        new = pieces.difference(words)
+        back = older.keys() & new
+        words.update(zip(back, map(older.__getitem__, back)))
+        new -= back
+        plain = list(filter(str.isalpha, new))
+        new.difference_update(plain)
+        # a mark after letters, or a line feed before them, is split off
+        ends = [p for p in new if p[-1:] in self.marks and p[:-1].isalpha()]
+        bases = {p[:-1] for p in ends}.difference(words, plain)
+        fresh = [*plain, *bases.difference(older)]
+        words.update(zip(bases, map(older.get, bases)))
+        words.update(zip(fresh, self.spell(["\u0120" + w for w in self.letters(fresh)])))
+        words.update([(p, words[p[:-1]] + self.marks[p[-1]]) for p in ends])
+        new.difference_update(ends)
+        feeds = [p for p in new if p[:1] == "\n" and p[1:].isalpha()]
+        words.update(zip(feeds, map(self.feed.__add__, self.spell(self.letters([p[1:] for p in feeds])))))
+        new.difference_update(feeds)
+        odd = list(new)
         for k in range(0, len(odd), 20_000):
             some = odd[k : k + 20_000]
             words.update(zip(some, self.whole([p if p[:1] == "\n" else " " + p for p in some])))
