@@ -41,6 +41,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrat.llm.additive import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrat.llm.html_text import extract
 
