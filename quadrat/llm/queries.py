@@ -41,6 +41,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrat.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrat.llm.additive import search
 
