@@ -217,3 +217,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     if out is None:
         out = spark.createDataFrame([], schema)
     return out.select(F.col("i").alias(id_col), F.col("item").alias(item_col), F.col("start").alias("start_word"), F.col("n").alias("n_words"), "distance", "similarity")
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that hold no item of the benchmark.
+
+    The same search as ``contaminated``; rows pass through, without a shuffle.
+    Null and empty texts stay.
+    """
+    spark, at = docs.sparkSession, docs.columns.index(text_col)
+
+    def cleaned(docs: DataFrame, index: Index) -> DataFrame:
+        shipped = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shipped.value
+            for b in batches:
+                memo: dict[str | None, bool] = {None: True}
+                clean = []
+                for t in b.column(at).to_pylist():
+                    if t not in memo:
+                        memo[t] = not index.search(t)
+                    clean.append(memo[t])
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    for index in indexes(benchmark, item_col, item_text_col):
+        docs = cleaned(docs, index)
+    return docs

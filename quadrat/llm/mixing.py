@@ -55,6 +55,47 @@ def targets(sources: DataFrame, share: float, cap: float) -> DataFrame:
     return sources.withColumn("target", F.when(F.col("source_size") == 0, 0.0).otherwise(want))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """(i, none, s, size, u, *more): what the mix needs of each row."""
+    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(
+        F.col(id_col).alias("i"),
+        F.col(source_col).isNull().alias("none"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s"),
+        words.alias("size"),
+        uniform(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("u"),
+        *more,
+    )
+
+
+def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """One row per source: its size and target, whole copies, inclusion probability and last row taken."""
+    sources = keep(sized.groupBy("none", "s").agg(F.sum("size").alias("source_size")), "mix-sources")
+    # One row per source; their order fixes the weights.
+    order = F.row_number().over(Window.orderBy("none", "s")) - 1
+    pick = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (order % len(weights) + 1).cast("int"))
+    dealt = targets(keep(sources.withColumn("weight", pick), "mix-weights"), share, cap)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(ratio)
+    rest = (F.col("target") - whole * F.col("source_size")).alias("rest")
+    dealt = keep(dealt.select("none", "s", "source_size", "target", whole.alias("whole"), rest, (ratio - whole).alias("p")), "mix-dealt")
+    ranks = sized.join(dealt, ["none", "s"]).select("none", "s", "i", "size", _pareto().alias("q"), "rest")
+    cut = _cut(keep(ranks, "mix-ranks"))
+    return keep(dealt.join(cut, ["none", "s"], "left"), "mix-plan")
+
+
+def _pareto() -> Column:
+    odds = F.col("u") * (1 - F.col("p")) / ((1 - F.col("u")) * F.col("p"))
+    return F.when(F.col("p") > 0, odds)
+
+
+def _copies() -> Column:
+    """Copies of a row that was joined with its source's plan."""
+    q = _pareto()
+    upto = (q < F.col("cut_q")) | ((q == F.col("cut_q")) & (F.struct("i", "size") <= F.struct("cut_i", "cut_size")))
+    return F.col("whole") + F.coalesce((F.col("p") > 0) & upto, F.lit(False)).cast("int")
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -73,48 +114,26 @@ def mix(
     Each source's taken words are off its target by half a document at most.
 
     Null and empty texts have size 0 and take 0.  Equal ranks (repeated rows)
-    fall in order of id, then size.  A source without words has target 0.  An
-    empty table gives an empty result; other columns are ignored.
+    fall in order of id, then size, and are taken together.  A source without
+    words has target 0.  An empty table gives an empty result; other columns are
+    ignored.
     """
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = keep(
-        docs.select(
-            F.col(id_col).alias("i"),
-            F.col(source_col).isNull().alias("none"),
-            F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s"),
-            words.alias("size"),
-            uniform(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("u"),
-        ),
-        "mix-sizes",
-    )
-    sources = keep(sized.groupBy("none", "s").agg(F.sum("size").alias("source_size")), "mix-sources")
-    # One row per source; their order fixes the weights.
-    order = F.row_number().over(Window.orderBy("none", "s")) - 1
-    pick = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (order % len(weights) + 1).cast("int"))
-    dealt = targets(keep(sources.withColumn("weight", pick), "mix-weights"), share, cap)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    dealt = dealt.select(
-        "none",
-        "s",
-        "source_size",
-        "target",
-        F.floor(ratio).alias("whole"),
-        (F.col("target") - F.floor(ratio) * F.col("source_size")).alias("rest"),
-        (ratio - F.floor(ratio)).alias("p"),
-    )
-    odds = F.col("u") * (1 - F.col("p")) / ((1 - F.col("u")) * F.col("p"))
-    ranked = sized.join(dealt, ["none", "s"]).select("*", F.when(F.col("p") > 0, odds).alias("q"))
-    cut = _cut(keep(ranked.select("none", "s", "i", "size", "q", "rest"), "mix-ranks"))
-    last = ranked.join(cut, ["none", "s"], "left")
-    one = (F.col("p") > 0) & F.coalesce(
-        (F.col("q") < F.col("cut_q"))
-        | ((F.col("q") == F.col("cut_q")) & F.struct("i", "size").__le__(F.struct("cut_i", "cut_size"))),
-        F.lit(False),
-    )
-    copies = F.col("whole") + one.cast("int")
-    return last.select(
-        F.col("i").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken")
-    )
+    sized = keep(_keyed(docs, id_col, text_col, source_col), "mix-sizes")
+    rows = sized.join(plan(sized, weights, share, cap), ["none", "s"])
+    taken = (_copies() * F.col("size")).cast("long")
+    return rows.select(F.col("i").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns as they are, each as often as it is taken.
+
+    The plan has a row per source, so the rows meet it without a shuffle as long as
+    it is small; beyond that adaptive execution splits a hot source.
+    """
+    chosen = plan(keep(_keyed(docs, id_col, text_col, source_col), "mix-sizes"), weights, share, cap)
+    rows = _keyed(docs, id_col, text_col, source_col, F.struct("*").alias("row")).join(chosen, ["none", "s"])
+    times = rows.select("row", _copies().cast("int").alias("n")).where("n > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")
 
 
 def _cut(ranks: DataFrame, rounds: int = 2) -> DataFrame:

@@ -155,3 +155,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = keep(rooted.join(keep(least, "components-least"), "root").select("fp", "component_id"), "components-named")
     return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, with one row of each group of near duplicates.
+
+    The row of least id stays, a null id only if its group has no other; of
+    repeated ids one row stays.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.monotonically_increasing_id().alias("tag"))
+    rows = keep(rows, "simhash-rows")  # from here on a row's tag is fixed
+    groups = near_duplicates(rows, id_col="tag", text_col="t", width=width)
+    first = F.min(F.struct(F.col("i").isNull(), "i", "tag")).alias("x")
+    stays = rows.select("tag", "i").join(groups.select("tag", "component_id"), "tag").groupBy("component_id").agg(first).select("x.tag")
+    return rows.join(keep(stays, "simhash-stays"), "tag", "left_semi").select("row.*")

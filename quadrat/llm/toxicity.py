@@ -145,37 +145,59 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit([np.searchsorted(ids, np.array(r["f"], np.int64)) for r in got], np.array([r["y"] for r in got], float), ids)
 
 
-def score(docs: DataFrame, model: Machine, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *carry, score) of every row: the probability of label 1 from the whole text.
+class Scorer:
+    """Scores of texts by a fitted model; what a word adds is remembered."""
+
+    def __init__(self, model: Machine, most_words: int = 400_000):
+        self.model, self.most_words = model, most_words
+        self.place = {int(t): k for k, t in enumerate(model.ids)}
+        self.words: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        rows = []
+        for t in texts:
+            found = set(_WORDS((t or "").lower()))
+            if len(self.words) > self.most_words:
+                self.words.clear()
+            for w in found.difference(self.words):
+                self.words[w] = tuple(self.place[x] for x in word_terms(w) if x in self.place)
+            rows.append(np.array(sorted({k for w in found if (f := self.words[w]) for k in f}), np.int64))
+        return 1 / (1 + np.exp(-np.clip(self.model.logits(rows), -500, 500)))
+
+
+def score(docs: DataFrame, model: Machine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of every row: the probability of label 1 from the whole text.
 
     Null and empty texts get the score of no terms.  Very long texts are read
     whole; repeated rows and null ids are kept one to one.
     """
-    place = {int(t): k for k, t in enumerate(model.ids)}
-    shipped = docs.sparkSession.sparkContext.broadcast((model, place))
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, place = shipped.value
-        memo: dict[str, tuple[int, ...]] = {}
+        scorer = Scorer(shipped.value)
         for b in batches:
-            rows = []
-            for t in b.column(0).to_pylist():
-                words = set(_WORDS(t.lower()))
-                new = [w for w in words if w not in memo]
-                if len(memo) > 400_000:
-                    memo.clear()
-                    new = list(words)
-                for w in new:
-                    memo[w] = tuple(place[x] for x in word_terms(w) if x in place)
-                rows.append(np.array(sorted({k for w in words if (f := memo[w]) for k in f}), np.int64))
-            p = 1 / (1 + np.exp(-np.clip(model.logits(rows), -500, 500)))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p)], names=[*b.schema.names[1:], "s"])
-
-    kept = [F.col(id_col).alias("i"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]]
-    given = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), *kept)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    out = given.mapInArrow(run, f"{schema}, s double")
-    return out.select(F.col("i").alias(id_col), *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], F.col("s").alias("score"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(b.column(1).to_pylist()))], names=["i", "s"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"i {kind}, s double")
+    return out.select(F.col("i").alias(id_col), F.col("s").alias("score"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``.
+
+    Null and empty texts score low and stay.  Rows pass through one to one, without
+    a shuffle.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shipped.value)
+        for b in batches:
+            yield b.filter(pa.array(scorer(b.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
