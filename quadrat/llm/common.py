@@ -38,6 +38,21 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def by_bytes(batch, column: int, most: int):
+    """Slices of an Arrow batch whose texts in ``column`` have about ``most`` bytes together."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        z = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, z - at)
+        at = z
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrat.llm.common import by_bytes
+
 #: Ids that the rolling hash covers, bounds and mean of a chunk's length.
 WINDOW, LEAST, MOST, MEAN = 8, 128, 4096, 512
 KEY = 16
@@ -96,12 +98,12 @@ class Encoder:
         swap = self.swap
         return [w if w.isascii() else w.encode().decode("latin-1").translate(swap) for w in words]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Fill ``words`` for pieces given without the space in front."""
+    def _learn(self, pieces: list[str]) -> None:
+        """Fill ``words`` for pieces given without the space in front; NUL starts a text."""
         if len(self.words) > self.most_words:
             self.words, self.older = {}, self.words
         words, older = self.words, self.older
-        new = pieces.difference(words)
+        new = set(pieces).difference(words)
         back = older.keys() & new
         words.update(zip(back, map(older.__getitem__, back)))
         new -= back
@@ -121,26 +123,44 @@ class Encoder:
         odd = list(new)
         for k in range(0, len(odd), 20_000):
             some = odd[k : k + 20_000]
-            words.update(zip(some, self.whole([p if p[:1] == "\n" else " " + p for p in some])))
+            bare = [p if p[:1] == "\n" else p[1:] if p[:1] == "\0" else " " + p for p in some]
+            words.update(zip(some, self.whole(bare)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian uint32."""
+        """The ids of each text as little-endian uint32.
+
+        The pieces of all texts are numbered at once; only distinct pieces are
+        looked up, and their ids are put in order by gathering.
+        """
+        import pyarrow.compute as pc
+
         if not self.by_word:
             return self.whole(texts)
         out: list = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
-        for k, t in enumerate(texts):
-            if not self.odd(t):
-                cut[k] = t.replace("\n", " \n").split(" ")
-        rest = [k for k in range(len(texts)) if k not in cut]
+        rest = [k for k, t in enumerate(texts) if self.odd(t)]
         for k, ids in zip(rest, self.whole([texts[k] for k in rest])):
             out[k] = ids
-        firsts = self.whole([p[0] for p in cut.values()])
-        self._learn(set().union(*(p[1:] for p in cut.values())))
-        get = self.words.__getitem__
-        for (k, p), first in zip(cut.items(), firsts):
-            del p[0]
-            out[k] = first + b"".join(map(get, p))
+        plain = [k for k in range(len(texts)) if out[k] is None]
+        if not plain:
+            return out
+        marked = pa.array(["\0" + texts[k].replace("\n", " \n") for k in plain], pa.large_string())
+        cut = pc.split_pattern(marked, " ")
+        numbered = cut.flatten().dictionary_encode()
+        pieces = numbered.dictionary.to_pylist()
+        self._learn(pieces)
+        ids = [self.words[p] for p in pieces]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        start = np.cumsum(size) - size
+        which = numbered.indices.to_numpy()
+        length = size[which]
+        ends = np.cumsum(length)
+        place = np.repeat(start[which] - (ends - length), length)
+        place += np.arange(len(place))
+        stream = flat[place]
+        bounds = np.concatenate([[0], ends])[cut.offsets.to_numpy()]
+        for k, a, z in zip(plain, bounds.tolist(), bounds[1:].tolist()):
+            out[k] = stream[a:z].tobytes()
         return out
 
 
@@ -282,14 +302,16 @@ class TokenStore:
         end = b"" if end_id is None else struct.pack("<I", end_id)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import gc
+
             import zstandard
             from pyspark import TaskContext
 
+            gc.disable()  # millions of small objects, none in a cycle
             encoder, pack = _encoder(shipped.value), zstandard.ZstdCompressor(level=1).compress
             part, n_rows, seen = TaskContext.get().partitionId(), 0, set()
             for b in batches:
-                for at in range(0, b.num_rows, 512):
-                    some = b.slice(at, 512)
+                for some in by_bytes(b, 1, 8 << 20):
                     rows: list = []
                     memo: dict[str, tuple[bytes, int]] = {}
                     texts = [t or "" for t in some.column(1).to_pylist()]
