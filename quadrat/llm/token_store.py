@@ -52,7 +52,7 @@ class Encoder:
     all texts of other vocabularies.
     """
 
-    def __init__(self, data: str, most_words: int = 300_000):
+    def __init__(self, data: str, most_words: int = 150_000):
         import json
         import re
 
@@ -155,8 +155,8 @@ class Encoder:
         which = numbered.indices.to_numpy()
         length = size[which]
         ends = np.cumsum(length)
-        place = np.repeat(start[which] - (ends - length), length)
-        place += np.arange(len(place))
+        place = np.repeat((start[which] - (ends - length)).astype(np.int32), length)
+        place += np.arange(len(place), dtype=np.int32)
         stream = flat[place]
         bounds = np.concatenate([[0], ends])[cut.offsets.to_numpy()]
         for k, a, z in zip(plain, bounds.tolist(), bounds[1:].tolist()):
@@ -302,16 +302,13 @@ class TokenStore:
         end = b"" if end_id is None else struct.pack("<I", end_id)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import gc
-
             import zstandard
             from pyspark import TaskContext
 
-            gc.disable()  # millions of small objects, none in a cycle
             encoder, pack = _encoder(shipped.value), zstandard.ZstdCompressor(level=1).compress
             part, n_rows, seen = TaskContext.get().partitionId(), 0, set()
             for b in batches:
-                for some in by_bytes(b, 1, 8 << 20):
+                for some in by_bytes(b, 1, 3 << 20):
                     rows: list = []
                     memo: dict[str, tuple[bytes, int]] = {}
                     texts = [t or "" for t in some.column(1).to_pylist()]
