@@ -38,6 +38,30 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def tidy(run):
+    """``run`` for ``mapInArrow``, giving memory back at its end.
+
+    Python workers outlive their tasks; what a task held would stay with them and
+    count against the executor while other stages run.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not the GNU library
+            pass
+
+    return wrapped
+
+
 def by_bytes(batch, column: int, most: int):
     """Slices of an Arrow batch whose texts in ``column`` have about ``most`` bytes together."""
     import numpy as np

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.llm.common import tidy
+
 #: Words of a shingle, least similarity, bits of the search radius, fingerprint blocks.
 WIDTH, LEAST, RADIUS, BLOCKS = 5, 0.8, 24, 8
 #: Items and bytes of item text that are searched at once.
@@ -208,7 +210,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
                 cols = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, types)], names=names)
 
-        return texts.mapInArrow(run, schema)
+        return texts.mapInArrow(tidy(run), schema)
 
     out = None
     for index in indexes(benchmark, item_col, item_text_col):
@@ -241,7 +243,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
                     clean.append(memo[t])
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
 
     for index in indexes(benchmark, item_col, item_text_col):
         docs = cleaned(docs, index)

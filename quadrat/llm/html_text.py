@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.llm.common import tidy
+
 # Fixed element lists of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
@@ -273,5 +275,5 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
 
     given = pages.select(F.col(html_col).alias("h"), F.col(id_col).alias("i"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    out = given.mapInArrow(run, f"{schema}, t string, n bigint")
+    out = given.mapInArrow(tidy(run), f"{schema}, t string, n bigint")
     return out.select(F.col("i").alias(id_col), *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], F.col("t").alias("text"), F.col("n").alias("n_chars"))

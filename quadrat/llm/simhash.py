@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import keep
+from quadrat.llm.common import keep, tidy
 from quadrat.llm.components import components
 
 SEGMENTS, WIDTH, GROUPS, RADIUS, MOST = 32, 2, 5, 2, 16
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], names=["i", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"i {kind}, fp bigint").select(F.col("i").alias(id_col), "fp")
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(tidy(run), f"i {kind}, fp bigint").select(F.col("i").alias(id_col), "fp")
 
 
 def _count(fp: Column, segment: int) -> Column:

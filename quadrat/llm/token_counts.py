@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.llm.common import tidy
+
 #: A blank between two plain letters or digits, where a long text may be cut.
 _CUT = re.compile(r"(?<=[A-Za-z0-9])\x20(?=[A-Za-z0-9])")
 _LOADED: dict = {}
@@ -123,7 +125,7 @@ def token_counts(
     text = F.col(text_col)
     rows = docs.select(
         F.col(id_col).alias("i"), text.alias("t"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("b")
-    ).mapInArrow(run, f"i {kind}, b bigint, n bigint")
+    ).mapInArrow(tidy(run), f"i {kind}, b bigint, n bigint")
     return rows.select(
         F.col("i").alias(id_col),
         F.col("b").alias("n_bytes"),

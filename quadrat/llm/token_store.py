@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import by_bytes
+from quadrat.llm.common import by_bytes, tidy
 
 #: Ids that the rolling hash covers, bounds and mean of a chunk's length.
 WINDOW, LEAST, MOST, MEAN = 8, 128, 4096, 512
@@ -333,9 +333,10 @@ class TokenStore:
                     cols = list(zip(*rows)) if rows else [[]] * 5
                     types = (pa.string(), pa.binary(), b.schema.field(0).type, pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["kind", "key", "i", "n", "payload"])
+            encoder.older = {}
 
         kind = docs.schema[id_col].dataType.simpleString()
-        rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"kind string, key binary, i {kind}, n bigint, payload binary")
+        rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(tidy(run), f"kind string, key binary, i {kind}, n bigint, payload binary")
         once = rows.groupBy("kind", "key").agg(F.first("i").alias("i"), F.first("n").alias("n"), F.first("payload").alias("payload"))
         once.write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{self.path}/first")
         self._sort_recipes(kind)
@@ -366,7 +367,7 @@ class TokenStore:
                 yield pa.RecordBatch.from_arrays([pa.array(["manifest"]), pa.array([part], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, i_type), pa.array([at], pa.int64()), pa.array([b""], pa.binary()), pa.array([tree.root()], pa.binary())], names=names)
 
         ranged = first.repartitionByRange(parts, "i", "key").sortWithinPartitions("i", "key")
-        rows = ranged.mapInArrow(run, f"kind string, part int, pos bigint, rel bigint, i {kind}, n bigint, payload binary, root binary")
+        rows = ranged.mapInArrow(tidy(run), f"kind string, part int, pos bigint, rel bigint, i {kind}, n bigint, payload binary, root binary")
         rows.write.partitionBy("kind").parquet(f"{self.path}/recipes")
 
     def _read(self, folder: str, kind: str, schema: str) -> DataFrame:
@@ -378,21 +379,9 @@ class TokenStore:
         return self.spark.read.parquet(f"{self.path}/first").schema["i"].dataType.simpleString()
 
     def recipes(self) -> DataFrame:
-        """(part, pos, rel, i, n, payload, root) with the verified hash trees of the manifest.
-
-        Raises on a recipe whose root differs from its chunk list.
-        """
-        kind = self._id_type()
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for payload, root in zip(b.column("payload").to_pylist(), b.column("root").to_pylist()):
-                    if merkle_root([payload[k : k + KEY + 4] for k in range(0, len(payload), KEY + 4)]) != root:
-                        raise ValueError("a recipe does not match its hash tree")
-                yield b
-
-        schema = f"part int, pos bigint, rel bigint, i {kind}, n bigint, payload binary, root binary"
-        return self._read("recipes", "recipe", schema).mapInArrow(check, schema)
+        """(part, pos, rel, i, n, payload, root) of every document."""
+        schema = f"part int, pos bigint, rel bigint, i {self._id_type()}, n bigint, payload binary, root binary"
+        return self._read("recipes", "recipe", schema)
 
     def manifest(self) -> DataFrame:
         """(part, n_docs, n_ids, root), one row per part."""
@@ -424,15 +413,20 @@ class TokenStore:
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "crc", "ids"][: len(cols)])
 
         found = self._read("first", "chunk", f"key binary, i {self._id_type()}, n bigint, payload binary")
-        return found.select("key", "payload").mapInArrow(run, "key binary, n bigint, crc bigint" + ", ids array<int>" * with_ids)
+        return found.select("key", "payload").mapInArrow(tidy(run), "key binary, n bigint, crc bigint" + ", ids array<int>" * with_ids)
 
     def _uses(self, recipes: DataFrame) -> DataFrame:
-        """(part, pos, k, key, n_said, after): the chunks of each document, with the ids that follow them."""
+        """(part, pos, k, key, said, after): the chunks of each document, with the ids that follow them.
+
+        Raises on a recipe whose hash tree has another root than its chunk list.
+        """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 part, pos, ks, keys, ns, after = [], [], [], [], [], []
-                for p, q, payload in zip(*(b.column(c).to_pylist() for c in ("part", "pos", "payload"))):
+                for p, q, payload, root in zip(*(b.column(c).to_pylist() for c in ("part", "pos", "payload", "root"))):
+                    if merkle_root([payload[k : k + KEY + 4] for k in range(0, len(payload), KEY + 4)]) != root:
+                        raise ValueError("a recipe does not match its hash tree")
                     found = [(payload[k : k + KEY], int.from_bytes(payload[k + KEY : k + KEY + 4], "little")) for k in range(0, len(payload), KEY + 4)]
                     left = sum(n for _, n in found)
                     for k, (key, n) in enumerate(found):
@@ -440,7 +434,7 @@ class TokenStore:
                         part.append(p), pos.append(q), ks.append(k), keys.append(key), ns.append(n), after.append(left)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(pos, pa.int64()), pa.array(ks, pa.int32()), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(after, pa.int64())], names=["part", "pos", "k", "key", "said", "after"])
 
-        return recipes.select("part", "pos", "payload").mapInArrow(run, "part int, pos bigint, k int, key binary, said bigint, after bigint")
+        return recipes.select("part", "pos", "payload", "root").mapInArrow(tidy(run), "part int, pos bigint, k int, key binary, said bigint, after bigint")
 
     def digests(self, id_col: str = "doc_id") -> DataFrame:
         """(id, start, n_tokens, ids_crc32, n_chunks) of every document, from the files.
@@ -465,7 +459,7 @@ class TokenStore:
                 yield pa.RecordBatch.from_arrays([b.column("part"), b.column("pos"), b.column("n"), pa.array(shift(crc, after * np.uint64(4)).astype(np.int64))], names=["part", "pos", "n", "crc"])
 
         met = self._uses(recipes).join(self.chunks(), "key", "left").select("part", "pos", F.coalesce("n", F.lit(-1)).alias("n"), "said", "after", F.coalesce("crc", F.lit(0)).alias("crc"))
-        sums = met.mapInArrow(shifted, "part int, pos bigint, n bigint, crc bigint").groupBy("part", "pos").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("crc"), F.count("*").alias("k"))
+        sums = met.mapInArrow(tidy(shifted), "part int, pos bigint, n bigint, crc bigint").groupBy("part", "pos").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("crc"), F.count("*").alias("k"))
         rows = recipes.select("part", "pos", "rel", "i").join(F.broadcast(offsets), "part").join(sums, ["part", "pos"], "left")
         return rows.select(
             F.col("i").alias(id_col),

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import keep
+from quadrat.llm.common import keep, tidy
 
 #: Bounds of the fit: labelled rows, terms in the model, length of a term's vector.
 MOST_ROWS, MOST_TERMS, FACTORS = 20_000, 4096, 8
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(np.bincount(slot, hit, len(ids)).astype(np.int64)), pa.array(np.bincount(slot, minlength=len(ids)).astype(np.int64))], names=["term", "pos", "n"])
 
     n_rows, n_pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    counts = rows.mapInArrow(tally, "term int, pos bigint, n bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(tally), "term int, pos bigint, n bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     expected = F.col("n") * F.lit(n_pos / max(n_rows, 1))
     lift = (F.col("pos") - expected) * (F.col("pos") - expected) / (expected + 1)
     strong = counts.where("pos >= 3").select("term", lift.alias("x")).where("x > 4").orderBy(F.desc("x"), "term").limit(MOST_TERMS)
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1)], names=["f", "y"])
 
     # most_rows rows of term ids: of MOST_TERMS at most, a few as a rule
-    got = rows.mapInArrow(place, "f array<int>, y int").orderBy("y", "f").collect()
+    got = rows.mapInArrow(tidy(place), "f array<int>, y int").orderBy("y", "f").collect()
     return fit([np.searchsorted(ids, np.array(r["f"], np.int64)) for r in got], np.array([r["y"] for r in got], float), ids)
 
 
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Machine, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(b.column(1).to_pylist()))], names=["i", "s"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"i {kind}, s double")
+    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(tidy(run), f"i {kind}, s double")
     return out.select(F.col("i").alias(id_col), F.col("s").alias("score"))
 
 
@@ -197,7 +197,7 @@ def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         for b in batches:
             yield b.filter(pa.array(scorer(b.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
