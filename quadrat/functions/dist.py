@@ -95,6 +95,7 @@ def t_cdf(x: float, df: float) -> float:
 
 def t_sf2(x: float, df: float) -> float:
     """Two-sided tail."""
+    x = float(x)
     return beta_cdf(df / (df + x * x), df / 2, 0.5) if not math.isinf(df) else math.erfc(abs(x) / math.sqrt(2))
 
 

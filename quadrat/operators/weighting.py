@@ -392,7 +392,7 @@ class Weighting:
     def _limits(self, df: DataFrame, by: list[str], given: dict, least: int) -> DataFrame:
         aggs = [F.count("*").alias("__n")]
         w = F.when(F.col("__w") > 0, F.col("__w"))
-        edge = {"hi": float("inf"), "lo": float("-inf")}
+        edge = {"hi": 1e300, "lo": 0.0}  # no limit
         for k, t in given.items():
             if t is None:
                 aggs.append(F.lit(edge[k]).alias(f"__{k}"))
