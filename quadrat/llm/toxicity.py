@@ -71,22 +71,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, *, rounds:
     if not n or not m:
         return Machine(ids, b, w, v)
     sizes = np.array([len(r) for r in rows])
-    cols = np.concatenate(rows).astype(np.int64)
-    row = np.repeat(np.arange(n), sizes)
+    cols = np.concatenate(rows).astype(np.int32)
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, v, np.zeros(1))]
     for t in range(1, rounds + 1):
-        vc = v[cols]
-        s = np.stack([np.bincount(row, vc[:, k], n) for k in range(FACTORS)], axis=1)
-        q = np.bincount(row, (vc * vc).sum(axis=1), n)
-        z = b + np.bincount(row, w[cols], n) + 0.5 * ((s * s).sum(axis=1) - q)
+        # a factor at a time, so that what is held is a few numbers per term of a row
+        z, sums = b + np.bincount(row, w[cols], n), []
+        for k in range(FACTORS):
+            one = v[cols, k]
+            sums.append(np.bincount(row, one, n))
+            z += 0.5 * (sums[k] ** 2 - np.bincount(row, one * one, n))
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
         gr = g[row]
-        pull = gr[:, None] * (s[row] - vc)
-        grads = (
-            np.bincount(cols, gr, m) + penalty * w,
-            np.stack([np.bincount(cols, pull[:, k], m) for k in range(FACTORS)], axis=1) + penalty * v,
-            np.array([g.sum()]),
-        )
+        pull = np.empty_like(v)
+        for k in range(FACTORS):
+            pull[:, k] = np.bincount(cols, gr * (sums[k][row] - v[cols, k]), m)
+        grads = (np.bincount(cols, gr, m) + penalty * w, pull + penalty * v, np.array([g.sum()]))
         steps = []
         for (mean, square), grad in zip(state, grads):
             mean *= 0.9
@@ -133,16 +133,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     lift = (F.col("pos") - expected) * (F.col("pos") - expected) / (expected + 1)
     strong = counts.where("pos >= 3").select("term", lift.alias("x")).where("x > 4").orderBy(F.desc("x"), "term").limit(MOST_TERMS)
     ids = np.array(sorted(r["term"] for r in strong.collect()), np.int64)
-    known_ids = set(ids.tolist())
+    place = {int(t): k for k, t in enumerate(ids)}
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted(terms(t) & known_ids) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1)], names=["f", "y"])
+            found = [np.array(sorted(place[x] for x in terms(t) if x in place), "<u2").tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], names=["f", "y"])
 
-    # most_rows rows of term ids: of MOST_TERMS at most, a few as a rule
-    got = rows.mapInArrow(tidy(place), "f array<int>, y int").orderBy("y", "f").collect()
-    return fit([np.searchsorted(ids, np.array(r["f"], np.int64)) for r in got], np.array([r["y"] for r in got], float), ids)
+    # most_rows rows of two bytes a term: of MOST_TERMS terms at most, a few as a rule
+    got = sorted((r["y"], bytes(r["f"])) for r in rows.mapInArrow(tidy(put), "f binary, y int").collect())
+    return fit([np.frombuffer(f, "<u2") for _, f in got], np.array([y for y, _ in got], float), ids)
 
 
 class Scorer:
