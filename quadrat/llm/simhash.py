@@ -168,4 +168,5 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     groups = near_duplicates(rows, id_col="tag", text_col="t", width=width)
     first = F.min(F.struct(F.col("i").isNull(), "i", "tag")).alias("x")
     stays = rows.select("tag", "i").join(groups.select("tag", "component_id"), "tag").groupBy("component_id").agg(first).select("x.tag")
-    return rows.join(keep(stays, "simhash-stays"), "tag", "left_semi").select("row.*")
+    # the set of rows that stay grows with the rows: it is shuffled at any size
+    return rows.join(keep(stays, "simhash-stays").hint("merge"), "tag", "left_semi").select("row.*")
