@@ -204,7 +204,14 @@ class Estimation:
             else:
                 scores[f"i{j}"] = lambda j=j: F.when(F.col(f"t_x{j}") != 0, (F.col(f"y{j}") - F.col(f"t_y{j}") / F.col(f"t_x{j}") * F.col(f"x{j}")) / F.col(f"t_x{j}"))
             active[f"i{j}"] = f"n{j}"
-        var = variances(units, prep.frame, totals, scores, active)
+        if prep.frame.singleton == "scale":
+            # variances come from the other strata alone, their own totals included
+            f = prep.frame
+            rest = Frame(f.data.where(~F.col(self.sample._singleton["flag"])), f.by, f.strata, f.psus, f.ssus, f.fpc_psu, f.fpc_ssu, f.singleton)
+            others = unit_sums(rest, sums)
+            var = variances(others, rest, grouped(others, f.by, [F.sum(c).alias(f"t_{c}") for c in sums]), scores, active)
+        else:
+            var = variances(units, prep.frame, totals, scores, active)
         full = equal(var, totals, prep.frame.by)
         scale = self.sample._singleton.get("fraction")
         out = []

@@ -171,7 +171,7 @@ class Singleton:
     def scale(self):
         """Variances come from the other strata and are scaled by the share of singletons."""
         info = self.summary()
-        return self.sample._with(self._flagged(), _singleton={"method": "scale", "fraction": info["share_strata"]})
+        return self.sample._with(self._flagged(), _singleton={"method": "scale", "fraction": info["share_strata"], "flag": FLAG})
 
     def center(self):
         """Lone units deviate from the mean of all units."""
