@@ -8,6 +8,7 @@ Layout below the store's path, all written by Spark's committed writers:
 ``recipes/kind=recipe``    the documents in ascending id, in parts; each row lists the
                        chunk keys and lengths, its place in the part and its Merkle root
 ``recipes/kind=manifest``  one row per part: documents, ids, Merkle root over the documents
+``about``                  the type of the documents' ids
 
 A rolling hash over the last ids decides where an id stream is cut, so equal
 passages give equal chunks wherever they stand.  Texts are encoded once.
@@ -37,7 +38,8 @@ KEY = 16
 #: library whole, and so is one with two blanks in a row, where a split of the text
 #: depends on what follows.
 _UNSAFE = r"[^\t\n\r\x20-\x7e\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ȳΑ-ΡΣ-ωА-я‐-‧€\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf]|\s\s"
-_ENDS = ".,;:!?"
+#: Marks that make a piece of their own after letters, alone or in a run.
+_ENDS = ".,;:!?#$%&*|/\\)(\"+=<>-"
 _LOADED: dict = {}
 
 
@@ -46,8 +48,8 @@ class Encoder:
 
     Byte-level vocabularies split a text before any merge, among other places
     in front of every single space or line feed, so the ids of a text are those of
-    its pieces in order, each piece with the blank in front of it.  A mark after
-    letters is split off as well.  Whatever might be split otherwise goes to the
+    its pieces in order, each piece with the blank in front of it.  Marks after
+    letters are split off as well.  Whatever might be split otherwise goes to the
     library as a whole text: odd characters, blanks in a row, special strings, and
     all texts of other vocabularies.
     """
@@ -69,7 +71,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.most_words = most_words
-        self.marks = dict(zip(_ENDS, self.whole(list(_ENDS))))
+        self.marks: dict[str, bytes] = {}
         self.swap = _byte_letters()
         self.feed = self.whole(["\n"])[0]
 
@@ -109,14 +111,19 @@ class Encoder:
         new -= back
         plain = list(filter(str.isalpha, new))
         new.difference_update(plain)
-        # a mark after letters, or a line feed before them, is split off
-        ends = [p for p in new if p[-1:] in self.marks and p[:-1].isalpha()]
-        bases = {p[:-1] for p in ends}.difference(words, plain)
+        # marks after letters, or a line feed before them, are split off
+        ends = [(p, b) for p in new if (b := p.rstrip(_ENDS)) != p and b.isalpha()]
+        runs = {p[len(b) :] for p, b in ends}.difference(self.marks)
+        if runs:
+            if len(self.marks) > 20_000:
+                self.marks, runs = {}, {p[len(b) :] for p, b in ends}
+            self.marks.update(zip(runs, self.whole(list(runs))))
+        bases = {b for _, b in ends}.difference(words, plain)
         fresh = [*plain, *bases.difference(older)]
         words.update(zip(bases, map(older.get, bases)))
         words.update(zip(fresh, self.spell(["\u0120" + w for w in self.letters(fresh)])))
-        words.update([(p, words[p[:-1]] + self.marks[p[-1]]) for p in ends])
-        new.difference_update(ends)
+        words.update([(p, words[b] + self.marks[p[len(b) :]]) for p, b in ends])
+        new.difference_update([p for p, _ in ends])
         feeds = [p for p in new if p[:1] == "\n" and p[1:].isalpha()]
         words.update(zip(feeds, map(self.feed.__add__, self.spell(self.letters([p[1:] for p in feeds])))))
         new.difference_update(feeds)
@@ -308,7 +315,7 @@ class TokenStore:
             encoder, pack = _encoder(shipped.value), zstandard.ZstdCompressor(level=1).compress
             part, n_rows, seen = TaskContext.get().partitionId(), 0, set()
             for b in batches:
-                for some in by_bytes(b, 1, 3 << 20):
+                for some in by_bytes(b, 1, 6 << 20):
                     rows: list = []
                     memo: dict[str, tuple[bytes, int]] = {}
                     texts = [t or "" for t in some.column(1).to_pylist()]
@@ -336,6 +343,7 @@ class TokenStore:
             encoder.older = {}
 
         kind = docs.schema[id_col].dataType.simpleString()
+        self.spark.createDataFrame([(kind,)], "id_type string").coalesce(1).write.parquet(f"{self.path}/about")
         rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(tidy(run), f"kind string, key binary, i {kind}, n bigint, payload binary")
         once = rows.groupBy("kind", "key").agg(F.first("i").alias("i"), F.first("n").alias("n"), F.first("payload").alias("payload"))
         once.write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{self.path}/first")
@@ -376,7 +384,7 @@ class TokenStore:
         return self.spark.read.schema(full).parquet(f"{self.path}/{folder}").where(F.col("kind") == kind).drop("kind")
 
     def _id_type(self) -> str:
-        return self.spark.read.parquet(f"{self.path}/first").schema["i"].dataType.simpleString()
+        return self.spark.read.schema("id_type string").parquet(f"{self.path}/about").first()[0]
 
     def recipes(self) -> DataFrame:
         """(part, pos, rel, i, n, payload, root) of every document."""
