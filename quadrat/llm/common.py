@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not where:
         where = tempfile.mkdtemp(prefix="quadrat-")
         spark.sparkContext.setCheckpointDir(where)
