@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +38,41 @@ class Table:
     def is_crosstab(self) -> bool:
         return self.colvar is not None
 
+    @classmethod
+    def one_way(cls, rowvar: str, cells: list[dict], **kw) -> Table:
+        return cls(rowvar, None, [{"col": None, **c} for c in cells], **kw)
+
+    @classmethod
+    def two_way(cls, rowvar: str, colvar: str, cells: list[dict], **kw) -> Table:
+        return cls(rowvar, colvar, list(cells), **kw)
+
+    def update(self, **changes) -> Table:
+        return replace(self, **changes)
+
+    def add_estimate(self, cell: dict) -> Table:
+        return replace(self, cells=[*self.cells, cell])
+
+    def extend_estimates(self, cells: list[dict]) -> Table:
+        return replace(self, cells=[*self.cells, *cells])
+
+    def set_stats(self, **stats) -> Table:
+        return replace(self, stats={**self.stats, **stats})
+
+    def fill_missing(self, value: float = 0.0) -> Table:
+        """Every combination of levels has a cell; the new ones hold ``value``."""
+        rows, cols = self.levels()
+        have = {(c["row"], c["col"]) for c in self.cells}
+        blank = {k: value for k in ("est", "se", "cv", "lci", "uci")}
+        return self.extend_estimates([{"row": r, "col": c, **blank} for r in rows for c in (cols or [None]) if (r, c) not in have])
+
+    def use_labels(self, sample) -> Table:
+        """Levels replaced by their value labels."""
+        name = lambda var, v: sample.resolve_labels(var).get(v, next((x for k, x in sample.resolve_labels(var).items() if str(k) == str(v)), v))
+        return replace(self, cells=[{**c, "row": name(self.rowvar, c["row"]), "col": name(self.colvar, c["col"]) if self.colvar else None} for c in self.cells])
+
+    def style(self, decimals: int) -> list[dict]:
+        return [{k: round(v, decimals) if isinstance(v, float) else v for k, v in c.items()} for c in self.cells]
+
     def to_records(self) -> list[dict]:
         return self.cells
 

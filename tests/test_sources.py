@@ -47,6 +47,34 @@ def test_spss_missing(spark, tmp_path):
     assert [r[0] for r in labelled.zap_missing(kept).collect()] == [1.0, None, None, None]
 
 
+def test_portable(spark, tmp_path):
+    def number(x):
+        if x is None:
+            return "*."
+        digits, out, whole = "0123456789ABCDEFGHIJKLMNOPQRST", "", int(abs(x))
+        while whole:
+            out = digits[whole % 30] + out
+            whole //= 30
+        part, frac = abs(x) - int(abs(x)), ""
+        for _ in range(10):
+            part *= 30
+            frac += digits[int(part)]
+            part -= int(part)
+        return ("-" if x < 0 else "") + (out or "0") + ("." + frac.rstrip("0") if frac.strip("0") else "") + "/"
+
+    text = lambda s: number(len(s)) + s
+    body = "A" + text("20200101") + text("000000") + "4" + number(2) + "5" + number(11)
+    body += "7" + number(0) + text("NUM") + "".join(map(number, (5, 8, 2, 5, 8, 2))) + "8" + number(99.0) + "C" + text("A number")
+    body += "7" + number(6) + text("TXT") + "".join(map(number, (1, 6, 0, 1, 6, 0)))
+    body += "D" + number(1) + text("NUM") + number(1) + number(1.0) + text("one") + "F"
+    body += "".join(number(x) + text(s) for x, s in ((1.0, "abc"), (-31.5, "d e"), (None, "f"), (99.0, "g"))) + "ZZZZZ"
+    full = " " * 200 + "0" * 256 + "SPSSPORT" + body
+    (tmp_path / "t.por").write_text("\n".join(full[k : k + 80].ljust(80) for k in range(0, len(full), 80)) + "\n")
+    df = files.read_spss(str(tmp_path / "t.por"), spark=spark)
+    assert [tuple(r) for r in df.collect()] == [(1.0, "abc"), (-31.5, "d e"), (None, "f"), (None, "g")]
+    assert labelled.value_labels(df, "NUM") == {1.0: "one"} and df.schema["NUM"].metadata["label"] == "A number"
+
+
 def test_stata(spark, table, tmp_path):
     path = str(tmp_path / "t.dta")
     files.write_stata(table.drop("day"), path, file_label="mine")

@@ -276,3 +276,26 @@ def test_labels_and_accessors(sample):
             self.n = sample.n_records
 
     assert s.sizes.n == 200 and s.deff_w > 1 and s.n_strata == 4 and s.n_psus == 20
+
+
+def test_table_views(sample):
+    t = sample.categorical.tabulate("stratum", "g")
+    s = sample.set_value_labels("g", {"A": "First", "B": "Second"})
+    assert {c["col"] for c in t.use_labels(s).cells} == {"First", "Second"}
+    full = t.fill_missing()
+    assert len(full.cells) == 8 and full.crosstab()["s0"].keys() == {"A", "B"}
+    assert t.set_stats(note=1).stats["note"] == 1 and t.style(2)[0]["est"] == round(t.cells[0]["est"], 2)
+
+
+def test_utilities(frame):
+    from quadrat import utils
+
+    odd = frame.withColumn("y", F.when(F.col("id") > 3, F.col("y")).otherwise(float("nan")))
+    assert utils.drop_missing(odd, ["y"]).count() == 196
+    with pytest.raises(MissingValueError, match="y: 4"):
+        utils.assert_no_missing(odd, ["y", "x"])
+    assert utils.weighted_quantiles([3, 1, 2], [1, 1, 2], [0.25, 0.5, 1.0]).tolist() == [1.0, 2.0, 3.0]
+    assert utils.weighted_quantile_bins([1, 2, 3, 4], [1, 1, 1, 1], 2).tolist() == [1.0, 2.0, 4.0]
+    assert utils.seed_from_random_state(5) == 5 and len(utils.spawn_child_rngs(1, 3)) == 3
+    with utils.temporary_log_level("DEBUG") as log:
+        assert log.level == 10
