@@ -25,8 +25,7 @@ class Prepared:
     """Rows with ``__w`` (weight) and ``__d`` (in the domain); design keys beside."""
 
     frame: Frame
-    rep: bool = False
-    n_missing: str | None = None
+    bad: Column | None = None  # rows that must not be there, to be counted with the sums
 
 
 @dataclass
@@ -141,7 +140,7 @@ class Estimation:
         self.sample = sample
 
     # ---- preparation -------------------------------------------------------
-    def _prepare(self, relevant: list[str], by, where, drop_nulls: bool, replication: bool = False) -> Prepared:
+    def _prepare(self, relevant: list[str], by, where, drop_nulls: bool, deferred: bool = False) -> Prepared:
         s, d = self.sample, self.sample.design
         df, types = s.data, dict(s.data.dtypes)
         by = list(names(by))
@@ -157,19 +156,22 @@ class Estimation:
         if drop_nulls:
             if bad_design:
                 df = df.where(~anybad(bad_design))
-        else:
-            # one pass over the relevant columns; nothing else is looked at
-            n = df.where(anybad([*bad_design, *bad_values])).limit(1).count()
-            if n:
-                raise MissingValueError("missing values in the columns that the estimate uses", where="estimation", hint="drop_nulls=True")
+        bad = None if drop_nulls else anybad([*bad_design, *bad_values])
         if state.get("skip"):
             df = df.where(~F.col(state["skip"]))
         valid = domain & ~anybad([missing(F.col(c), types[c]) for c in by])
         df = df.withColumns({"__d": valid, "__w": weight})
-        if by:
-            df = df.withColumns({})
         frame = Frame(df, by, strata, psus, list(d.ssus), d.pop_size.psu if d.pop_size and not d.wr else None, d.pop_size.ssu if d.pop_size and not d.wr else None, state.get("method"), state.get("lone"))
-        return Prepared(frame)
+        prep = Prepared(frame, bad)
+        if bad is not None and not deferred:
+            # a pass over the relevant columns; nothing else is looked at
+            self._missing(df.where(bad).limit(1).count())
+        return prep
+
+    @staticmethod
+    def _missing(n: int | None) -> None:
+        if n:
+            raise MissingValueError("missing values in the columns that the estimate uses", where="estimation", hint="drop_nulls=True")
 
     def _method(self, method: str | None) -> str:
         d = self.sample.design
@@ -195,7 +197,15 @@ class Estimation:
             sums |= {f"w{j}": w, f"y{j}": w * y, f"x{j}": w * x, f"n{j}": (w > 0).cast("long")}
             if deff:
                 sums |= {f"yy{j}": w * y * y, f"xx{j}": w * x * x, f"xy{j}": w * x * y}
+        if prep.bad is not None:
+            sums["bad"] = prep.bad.cast("long")
         units = unit_sums(prep.frame, sums)
+        if prep.frame.psus:
+            # a row per PSU: checks, totals and variances all read it, the microdata once
+            units = units.persist()
+        if prep.bad is not None:
+            self._missing(units.agg(F.sum("bad")).first()[0])
+            del sums["bad"]
         totals = grouped(units, prep.frame.by, [F.sum(c).alias(f"t_{c}") for c in sums])
         scores, active = {}, {}
         for j, _ in enumerate(items):
@@ -231,7 +241,7 @@ class Estimation:
     def _point(self, param: str, kind: str, items_of, relevant, by, where, method, deff, fay, center, alpha, drop_nulls, ci="t") -> Estimate:
         method = self._method(method)
         deff = {True: "wor", False: None}.get(deff, deff) if isinstance(deff, bool) else deff
-        prep = self._prepare(relevant, by, where, drop_nulls)
+        prep = self._prepare(relevant, by, where, drop_nulls, deferred=method == "taylor")
         items = items_of(prep)
         if method == "taylor":
             frame = self._linear(prep, items, deff, kind)
