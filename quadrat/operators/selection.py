@@ -107,7 +107,7 @@ class Selection:
 
     def _finish(self, df: DataFrame, where, prob_name, wgt_name, hit_name, prob: Column, hits: Column):
         d = self.sample.design
-        prob_name, wgt_name, hit_name = prob_name or "svy_prob_selection", wgt_name or "svy_sample_weight", hit_name or "svy_number_of_hits"
+        prob_name, wgt_name, hit_name = prob_name or "survey_prob_selection", wgt_name or "survey_sample_weight", hit_name or "survey_number_of_hits"
         chosen = F.col("__in") & (hits > 0)
         before = F.col(d.prob).cast("double") if d.prob else F.lit(1.0)
         full = before * prob
@@ -234,7 +234,7 @@ class Selection:
             raise DimensionError("the first stage needs a PSU and selection probabilities", where="add_stage")
         if lost := [k for k in keys if k not in next_stage.data.columns]:
             raise DimensionError(f"the next stage lacks {', '.join(lost)}", where="add_stage")
-        prob_name, wgt_name = prob_name or "svy_prob_selection", wgt_name or "svy_sample_weight"
+        prob_name, wgt_name = prob_name or "survey_prob_selection", wgt_name or "survey_sample_weight"
         first = self.sample.data.groupBy(*keys).agg(F.max(d.prob).alias("__p1"))
         later = next_stage.data
         if equal(later.select(*keys).distinct(), first, keys, "left").where("__p1 is null").limit(1).count():

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quadrat.errors import SingletonError
 from quadrat.plans.units import equal
 
-STRATUM, PSU, FLAG = "svy_var_stratum", "svy_var_psu", "svy_singleton"
+STRATUM, PSU, FLAG = "survey_var_stratum", "survey_var_psu", "survey_singleton"
 
 
 class Singleton:

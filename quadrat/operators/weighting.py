@@ -434,7 +434,7 @@ class Weighting:
         w = Window.partitionBy(*d.strata)
         return table.withColumns({"__k": F.row_number().over(w.orderBy(*sort, *d.psus)) - 1, "__m": F.count("*").over(w)}).select(*keys, "__k", "__m")
 
-    def create_variance_strata(self, *, method: str, order_by=None, shuffle=False, into="svy_var_stratum", rstate=None):
+    def create_variance_strata(self, *, method: str, order_by=None, shuffle=False, into="survey_var_stratum", rstate=None):
         """Pairs of neighbouring PSUs as strata (``brr``), or pairs with a triple at the end (``jk2``)."""
         if method not in ("brr", "jk2"):
             raise MethodError("method must be brr or jk2", param="method")

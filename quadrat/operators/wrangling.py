@@ -107,11 +107,11 @@ class Wrangling:
         out = {}
         for k, (c, suffix) in made.items():
             if isinstance(into, dict):
-                name = into.get(k, f"svy_{k}_{suffix}")
+                name = into.get(k, f"survey_{k}_{suffix}")
             elif into:
                 name = into if len(made) == 1 else f"{into}_{k}"
             else:
-                name = k if replace else f"svy_{k}_{suffix}"
+                name = k if replace else f"survey_{k}_{suffix}"
             out[name] = c
         return self.sample._with(self.sample.data.withColumns(out))
 

@@ -470,19 +470,19 @@ def fill_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def srs_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which rows are drawn depends on the seed; how many and with what probability does not."""
     s = Sample(read(spark, sf_dir, "part"), Design(stratum="p_brand")).sampling.srs(5, rstate=7)
-    return s.data.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.max("svy_prob_selection"), 9).alias("prob"), F.round(F.max("svy_sample_weight"), 6).alias("wgt"))
+    return s.data.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.max("survey_prob_selection"), 9).alias("prob"), F.round(F.max("survey_sample_weight"), 6).alias("wgt"))
 
 
 @query("pps_counts", "SELECT p_brand, CAST(4 AS BIGINT) AS hits FROM part GROUP BY 1")
 def pps_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Sample(read(spark, sf_dir, "part"), Design(stratum="p_brand", mos="p_size")).sampling.pps_sys(4, rstate=7)
-    return s.data.groupBy("p_brand").agg(F.sum("svy_number_of_hits").alias("hits"))
+    return s.data.groupBy("p_brand").agg(F.sum("survey_number_of_hits").alias("hits"))
 
 
 @query("pps_brewer")
 def pps_brewer(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Sample(read(spark, sf_dir, "part"), Design(stratum="p_brand", mos="p_size")).sampling.pps_brewer(4, rstate=7)
-    return s.data.select("p_partkey", "svy_prob_selection", "svy_sample_weight")
+    return s.data.select("p_partkey", "survey_prob_selection", "survey_sample_weight")
 
 
 @query("group_sizes", "SELECT p_brand, count(*) AS n FROM part GROUP BY 1")

@@ -187,7 +187,7 @@ def test_selection(sample, frame):
     shuffled = Sample(frame.repartition(7), Design(stratum="stratum")).sampling.srs(4, rstate=9).data
     assert again == [r["id"] for r in shuffled.orderBy("id").collect()]
     kept = s.srs(2, where=col("b") == 1, rstate=1)
-    assert kept.data.count() == 200 and kept.data.where("svy_number_of_hits > 0").count() == 4  # two strata hold the eligible rows
+    assert kept.data.count() == 200 and kept.data.where("survey_number_of_hits > 0").count() == 4  # two strata hold the eligible rows
     assert s.allocate({"a": 10, "b": 30}, n_total=8) == {"a": 2, "b": 6}
     assert s.allocate({"a": 2, "b": 30}, n_total=20, method="equal", n_per_group=5) == {"a": 2, "b": 5}
 
