@@ -241,6 +241,25 @@ def test_neighbours_of_odd_vectors(spark):
     assert additive.search(df.where("vec_id in (0, 1)")).count() == 1
 
 
+@pytest.mark.parametrize("noise", [0.1, 0.01, 0.0])
+def test_neighbours_in_a_large_group(spark, noise):
+    """A full Arrow batch, a third of it near copies of one vector: nothing is lost to the short list."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(10_000, 64))
+    group = rng.permutation(10_000) < 3400
+    x[group] = x[0] + noise * rng.normal(size=(group.sum(), 64))
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    got = {}
+    for r in additive.search(df, every=100, most_fit=1024).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    size = np.sqrt((x * x).sum(-1))
+    for k in range(0, 10_000, 100):
+        cos = (x * x[k]).sum(-1) / (size * size[k])
+        cos[k] = -2
+        assert got[k] == np.lexsort((np.arange(10_000), -cos))[:5].tolist()
+
+
 # ---- 7 -------------------------------------------------------------------------------
 def test_html(spark, sf_dir):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><h2>Site name</h2></header><nav><ul><li><a href=x>Home</a></ul></nav>
