@@ -8,6 +8,10 @@ weighted shingles, of at least ``LEAST``, decides.
 
 A window that similar shares a shingle with the item, near the place the item has
 it.  So only windows about such places are fingerprinted; that skips nothing.
+
+Weights, equal items and windows are those of the whole benchmark, however many
+blocks it is searched in: the windows that any block asks for are gathered first, and
+the weights of their shingles are looked up in the table of all that recur.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import tidy
+from quadrat.llm.common import keep, tidy
 
 #: Words of a shingle, least similarity, bits of the search radius, fingerprint blocks.
 WIDTH, LEAST, RADIUS, BLOCKS = 5, 0.8, 24, 8
@@ -62,7 +66,7 @@ def similarity(a: Counter, b: Counter, weight) -> float:
 
 @dataclass
 class Index:
-    """The items of one block and what a search of documents needs."""
+    """The items of one block, weights in the whole benchmark, and what a search of documents needs."""
 
     ids: list
     texts: list[list[str]]
@@ -130,16 +134,21 @@ class Index:
                     out.update((s, size) for s in range(len(found) - size + 1) if found[s] == w)
         return out
 
-    def search(self, text: str) -> list[tuple]:
-        """(item id, first word, words, distance, similarity): each item's best window."""
+    def search(self, text: str, windows: set[tuple[int, int]] | None = None, weights: dict[str, float] | None = None) -> list[tuple]:
+        """(item id, first word, words, distance, similarity): each item's best window.
+
+        Where the benchmark has other blocks, ``windows`` are those of all blocks and
+        ``weights`` those of all their shingles that recur in the benchmark.
+        """
         found = words(text)
+        weight = self.weight if weights is None else (lambda x: weights.get(x) or self.weight(x))
         best: dict[int, tuple] = {}
-        for s, size in sorted(self.starts(found)):
+        for s, size in sorted(self.starts(found) if windows is None else windows):
             window = shingles(found[s : s + size])
             bag = Counter(window)
-            fp = fingerprint(_hashes(window), np.array([self.weight(x) for x in window]))
+            fp = fingerprint(_hashes(window), np.array([weight(x) for x in window]))
             for k, d in self.within(fp):
-                alike = similarity(bag, self.bags[k], self.weight)
+                alike = similarity(bag, self.bags[k], weight)
                 if alike >= LEAST - 1e-12 and (k not in best or alike > best[k][4]):
                     best[k] = (self.ids[k], s, min(size, len(found) - s), d, alike)
         return [best[k] for k in sorted(best)]
@@ -155,24 +164,119 @@ def _codes(n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(i, w): the least id and the words, joined by blanks, of the items; those of equal words are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(words(t)) for t in b.column(1).to_pylist()], pa.string())], names=["i", "w"])
+
+    kind = benchmark.schema[id_col].dataType.simpleString()
+    given = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    found = given.mapInArrow(tidy(run), f"i {kind}, w string").where("w != ''")
+    return found.groupBy("w").agg(F.min("i").alias("i")).select("i", "w")
+
+
+def _recurring(items: DataFrame) -> DataFrame:
+    """(s, k): the shingles of two items or more, and of how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(set(shingles(t.split(" ")))), pa.string())], names=["s"])
+
+    return items.select("w").mapInArrow(tidy(run), "s string").groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
+
+
+@dataclass
+class _Plan:
+    """The merged items, how many there are, and the blocks they are searched in."""
+
+    items: DataFrame
+    total: int
+    blocks: int
+    recur: DataFrame | None = None
+
+    def indexes(self) -> Iterator[Index]:
+        for b in range(self.blocks):
+            # one block of the stated query set, bounded by MOST_ITEMS and MOST_BYTES on average
+            rows = self.items.where(F.pmod(F.xxhash64("w"), F.lit(self.blocks)) == b).orderBy("i", "w").collect()
+            if not rows:
+                continue
+            texts = [r["w"].split(" ") for r in rows]
+            # rare shingles weigh more; one in no item weighs as one in a single item
+            if self.recur is None:
+                df = Counter(s for w in texts for s in set(shingles(w)))
+                weights = {s: math.log1p(self.total / k) for s, k in df.items() if k > 1}
+            else:
+                own = self.items.sparkSession.createDataFrame([(s,) for s in sorted({s for w in texts for s in shingles(w)})], "s string")
+                weights = {r["s"]: math.log1p(self.total / r["k"]) for r in self.recur.join(own, "s", "left_semi").collect()}
+            yield Index([r["i"] for r in rows], texts, weights, math.log1p(self.total))
+
+
+def _plan(benchmark: DataFrame, id_col: str, text_col: str) -> _Plan:
+    items = keep(_items(benchmark, id_col, text_col), "benchmark-items")
+    total, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("w")), F.lit(0))).first()
+    blocks = max(1, math.ceil(total / MOST_ITEMS), math.ceil(size / MOST_BYTES))
+    return _Plan(items, total, blocks, keep(_recurring(items), "benchmark-shingles") if blocks > 1 else None)
+
+
 def indexes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
     """The benchmark in blocks of bounded size; items of equal words are one, with the least id."""
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
-    blocks = max(1, math.ceil(n / MOST_ITEMS), math.ceil(size / MOST_BYTES))
-    for b in range(blocks):
-        # one block of the stated query set, bounded by MOST_ITEMS and MOST_BYTES on average
-        rows = items.where(F.pmod(F.xxhash64(F.lower("t")), F.lit(blocks)) == b).orderBy("i").collect()
-        once: dict[tuple, object] = {}
-        for r in rows:
-            if w := tuple(words(r["t"])):
-                once.setdefault(w, r["i"])
-        df = Counter(s for w in once for s in set(shingles(list(w))))
-        total = len(once)
-        # rare shingles weigh more; one in no item weighs as one in a single item
-        weights = {s: math.log1p(total / k) for s, k in df.items() if k > 1}
-        if once:
-            yield Index(list(once.values()), [list(w) for w in once], weights, math.log1p(total))
+    return _plan(benchmark, id_col, text_col).indexes()
+
+
+def _hits(texts: DataFrame, plan: _Plan) -> DataFrame:
+    """(key, item, start, n, distance, similarity) of distinct ``texts`` (key, t), over several blocks."""
+    spark, spans = texts.sparkSession, "array<struct<p:int,n:int>>"
+    pairs = pa.list_(pa.struct([("p", pa.int32()), ("n", pa.int32())]))
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out
+
+    def asked(index: Index) -> DataFrame:
+        shipped = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [[{"p": p, "n": n} for p, n in shipped.value.starts(words(t))] for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pairs)], names=["key", "x"])
+
+        return keep(texts.mapInArrow(tidy(run), f"key string, x {spans}").where("size(x) > 0"), "benchmark-windows")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, t, x in zip(*(c.to_pylist() for c in b.columns)):
+                w = words(t)
+                found = sorted({s for y in x for s in shingles(w[y["p"] : y["p"] + y["n"]])})
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.string()), pa.array(found, pa.string())], names=["key", "s"])
+
+    def searched(index: Index) -> DataFrame:
+        shipped = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shipped.value
+            types = [pa.string(), pa.array(index.ids).type, pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+            for b in batches:
+                rows = []
+                for key, t, x, weights in zip(*(c.to_pylist() for c in b.columns)):
+                    rows += [(key, *y) for y in index.search(t, {(y["p"], y["n"]) for y in x}, dict(weights or ()))]
+                cols = list(zip(*rows)) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, types)], names=["key", "item", "start", "n", "distance", "similarity"])
+
+        kind = plan.items.schema["i"].dataType.simpleString()
+        return keep(near.mapInArrow(tidy(run), f"key string, item {kind}, start bigint, n bigint, distance int, similarity double"), "benchmark-hits")
+
+    wanted = union([asked(index) for index in plan.indexes()])
+    wanted = wanted.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("x"))).alias("x"))
+    near = keep(texts.join(wanted, "key").select("key", "t", "x"), "benchmark-near")
+    known = near.mapInArrow(tidy(shingled), "key string, s string").join(plan.recur, "s")
+    known = known.select("key", F.struct("s", F.log1p(F.lit(plan.total) / F.col("k"))).alias("w")).groupBy("key").agg(F.map_from_entries(F.collect_list("w")).alias("weights"))
+    near = keep(near.join(known, "key", "left"), "benchmark-weighed")
+    return union([searched(index) for index in plan.indexes()])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -212,10 +316,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
         return texts.mapInArrow(tidy(run), schema)
 
-    out = None
-    for index in indexes(benchmark, item_col, item_text_col):
-        part = searched(index)
-        out = part if out is None else out.unionByName(part)
+    out, plan = None, _plan(benchmark, item_col, item_text_col)
+    if plan.blocks > 1:
+        keyed = texts.withColumn("key", F.sha2("t", 256))
+        out = keyed.select("i", "key").join(_hits(keyed.select("key", "t").dropDuplicates(["key"]), plan), "key").select(*names)
+    else:
+        for index in plan.indexes():
+            out = searched(index)
     if out is None:
         out = spark.createDataFrame([], schema)
     return out.select(F.col("i").alias(id_col), F.col("item").alias(item_col), F.col("start").alias("start_word"), F.col("n").alias("n_words"), "distance", "similarity")
@@ -224,8 +331,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 def without_items(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that hold no item of the benchmark.
 
-    The same search as ``contaminated``; rows pass through, without a shuffle.
-    Null and empty texts stay.
+    The same search as ``contaminated``; rows pass through, without a shuffle if
+    the benchmark is one block.  Null and empty texts stay.
     """
     spark, at = docs.sparkSession, docs.columns.index(text_col)
 
@@ -245,6 +352,12 @@ def without_items(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
         return docs.mapInArrow(tidy(run), docs.schema)
 
-    for index in indexes(benchmark, item_col, item_text_col):
+    plan = _plan(benchmark, item_col, item_text_col)
+    if plan.blocks > 1:
+        key = F.sha2(F.col(text_col), 256)
+        texts = docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), F.col(text_col).alias("t")).dropDuplicates(["key"])
+        hits = _hits(texts, plan).select("key").distinct()
+        return docs.join(hits, key == hits["key"], "left_anti")
+    for index in plan.indexes():
         docs = cleaned(docs, index)
     return docs

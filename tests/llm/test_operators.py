@@ -125,6 +125,36 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Several blocks give what one gives: weights and equal items are those of the whole benchmark."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    common = [rng.sample(words, 12) for _ in range(3)]
+    items, rows = [], []
+    for k in range(40):
+        body = rng.sample(words, 30)
+        for c in rng.sample(common, k % 3):
+            body += c
+        items.append((k, " ".join(body)))
+    items += [(100 + k, t.upper().replace(" ", ", ") + "!") for k, t in items[:10]]
+    for n in range(120):
+        w = items[n % 40][1].split()
+        for at in rng.sample(range(len(w)), n // 40):
+            w[at] = "zzz"
+        if n % 2:  # a shingle of the benchmark that this item has not
+            w[5:10] = common[n % 3][:5]
+        rows.append((n, " ".join(rng.sample(words, 10) + w + common[n % 3])))
+    df, bench = spark.createDataFrame(rows + [(500, None)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.contaminated(df, bench).collect()))
+    clean = sorted(r["doc_id"] for r in decontaminate.without_items(df, bench).collect())
+    monkeypatch.setattr(decontaminate, "MOST_ITEMS", 10)
+    assert len(list(decontaminate.indexes(bench, "item_id", "text"))) > 1
+    many = sorted(map(tuple, decontaminate.contaminated(df, bench).collect()))
+    assert [x[:5] for x in many] == [x[:5] for x in one] and [x[5] for x in many] == pytest.approx([x[5] for x in one])
+    assert 0 < len(clean) < len(rows) and {x[1] for x in one} <= set(range(40))
+    assert sorted(r["doc_id"] for r in decontaminate.without_items(df, bench).collect()) == clean
+
+
 # ---- 3 -------------------------------------------------------------------------------
 def test_toxicity(spark, docs, none):
     rng = random.Random(5)
