@@ -228,6 +228,20 @@ def test_passages(spark, docs, none, sf_dir):
     assert exact <= {r["doc_id"] for r in passages.repeated_passages(df).collect()}
 
 
+def test_passages_of_the_least_length_with_an_edit(spark):
+    """50 words with one changed (similarity 41/51) keep a chain wherever the change is."""
+    rng = random.Random(15)
+    junk = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for n in range(720):
+        p = junk(50)
+        q = list(p)
+        q[7 + n % 36] = "edit"
+        rows += [(2 * n + c, " ".join(junk(30) + x + junk(30))) for c, x in enumerate((p, q))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {i for i, _ in rows}
+
+
 def test_fenwick():
     rng = random.Random(1)
     tree, plain = [(0.0, -1)] * 33, {}
