@@ -242,6 +242,22 @@ def test_passages_of_the_least_length_with_an_edit(spark):
     assert {r["doc_id"] for r in got} == {i for i, _ in rows}
 
 
+def test_passages_of_frequent_lines(spark):
+    """Two documents share stock lines that ten others hold one of each: only they share the passage."""
+    rng = random.Random(16)
+    junk = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for g in range(30):
+        a, b = junk(30), junk(20 + g % 11)
+        for k in range(24):
+            line = a + b if k in (11, 12) else (a if k % 2 else b)
+            rows.append((g * 100 + k, " ".join(junk(20) + line + junk(20))))
+        want |= {g * 100 + 11, g * 100 + 12}
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == want
+    assert all(abs(r["doc_id"] - r["other_id"]) == 1 and r["n_words"] >= 50 for r in got)
+
+
 def test_fenwick():
     rng = random.Random(1)
     tree, plain = [(0.0, -1)] * 33, {}
