@@ -201,7 +201,7 @@ def test_mixing(spark, docs, none, duck, sf_dir):
 
 # ---- 5 -------------------------------------------------------------------------------
 def test_passages(spark, docs, none, sf_dir):
-    assert passages.chains([(0, 10), (5, 15), (60, 71), (70, 5)])[0][0][0] == 0
+    assert passages.chains([(0, 10, 5), (5, 15, 5), (60, 71, 5), (70, 5, 5)])[0][0][0] == 0
     rng = random.Random(8)
     junk = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
     rows = []
@@ -258,6 +258,57 @@ def test_passages_of_frequent_lines(spark):
     assert all(abs(r["doc_id"] - r["other_id"]) == 1 and r["n_words"] >= 50 for r in got)
 
 
+def test_passages_of_many_holders(spark):
+    """Frequent passages: exact ones are never lost, edited ones hardly, copies are one row each."""
+    rng = random.Random(17)
+    junk = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, exact, fuzzy, clean = [], set(), set(), set()
+
+    def add(i, *parts):
+        rows.append((i, " ".join(w for p in parts for w in p)))
+        return i
+
+    # two of 132 documents share 80 words, the others 16 of them each
+    p = junk(80)
+    for k in range(130):
+        at = rng.randrange(64)
+        clean.add(add(k, junk(20), p[at : at + 16], junk(20)))
+    exact |= {add(60_000, junk(9), p, junk(9)), add(60_001, junk(9), p, junk(9))}
+    # 24 holders of a passage, half with a word changed; ids in random order
+    for g in range(20):
+        p = junk(rng.randrange(60, 110))
+        for k in rng.sample(range(24), 24):
+            q = list(p)
+            if k >= 12:
+                q[rng.randrange(8, len(q) - 8)] = f"e{rng.randrange(10**9)}"
+            (fuzzy if k >= 12 else exact).add(add(1000 + g * 100 + rng.randrange(4) * 24 + k, junk(rng.randrange(30)), q, junk(rng.randrange(30))))
+    # near copies of a long text, exact copies, a long insertion, and one id with two texts
+    p = junk(400)
+    for k in range(60):
+        q = list(p)
+        for _ in range(4):
+            q[rng.randrange(len(q))] = "edit"
+        exact.add(add(5000 + k, q))
+    copies = [add(6000 + k, p[:120]) for k in range(9)]
+    p = junk(200)
+    exact |= {add(7000, p), add(7001, p[:100], junk(500), p[100:])}
+    q = junk(60)
+    exact |= {add(7002, q), add(7003, q), add(7003, junk(70))}
+    clean |= {add(8000 + k, junk(100)) for k in range(30)} | {add(8100 + k, ["short", "copy"]) for k in range(9)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(df).collect()
+    got = {r["doc_id"] for r in found}
+    assert exact <= got and len(fuzzy & got) >= 0.9 * len(fuzzy) and not clean & got
+    assert sum(r["n_words"] for r in found if r["doc_id"] == 7001) >= 198
+    assert sorted((r["doc_id"], r["start_word"], r["n_words"], r["other_id"]) for r in found if r["doc_id"] in copies) == [(i, 0, 120, 6000 if i > 6000 else 6001) for i in copies]
+    text = {}
+    for i, t in sorted(rows):
+        text[i] = f"{text[i]} \0 {t}" if i in text else t
+    for r in found:  # what is reported is there
+        a, b = passages.words(text[r["doc_id"]]), passages.words(text[r["other_id"]])
+        assert a[r["start_word"] : r["start_word"] + 4] == b[r["other_start"] : r["other_start"] + 4] and r["doc_id"] != r["other_id"]
+
+
 def test_fenwick():
     rng = random.Random(1)
     tree, plain = [(0.0, -1)] * 33, {}
