@@ -34,13 +34,17 @@ _BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _BITS = np.array([[v >> k & 1 for k in range(8)] for v in range(256)], np.int32)
 
 
+def words(text: str) -> list[str]:
+    return [w for w in text.translate(_UPPER).translate(_BLANKS).split(" ") if w]
+
+
 def shingles(text: str, width: int = 3) -> list[str]:
     """Runs of ``width`` words joined by spaces; fewer words give one run, none give none."""
-    words = [w for w in text.translate(_UPPER).translate(_BLANKS).split(" ") if w]
-    if len(words) <= width:
-        return [" ".join(words)] if words else []
-    n = len(words) - width + 1
-    return [" ".join(x) for x in zip(*(words[k : k + n] for k in range(width)))]
+    found = words(text)
+    if len(found) <= width:
+        return [" ".join(found)] if found else []
+    n = len(found) - width + 1
+    return [" ".join(x) for x in zip(*(found[k : k + n] for k in range(width)))]
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -155,18 +159,3 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = keep(rooted.join(keep(least, "components-least"), "root").select("fp", "component_id"), "components-named")
     return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, with one row of each group of near duplicates.
-
-    The row of least id stays, a null id only if its group has no other; of
-    repeated ids one row stays.
-    """
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.monotonically_increasing_id().alias("tag"))
-    rows = keep(rows, "simhash-rows")  # from here on a row's tag is fixed
-    groups = near_duplicates(rows, id_col="tag", text_col="t", width=width)
-    first = F.min(F.struct(F.col("i").isNull(), "i", "tag")).alias("x")
-    stays = rows.select("tag", "i").join(groups.select("tag", "component_id"), "tag").groupBy("component_id").agg(first).select("x.tag")
-    # the set of rows that stay grows with the rows: it is shuffled at any size
-    return rows.join(keep(stays, "simhash-stays").hint("merge"), "tag", "left_semi").select("row.*")
