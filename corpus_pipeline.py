@@ -15,7 +15,7 @@ from quadrat.llm.common import keep, new_path, table
 from quadrat.llm.decontaminate import without_items
 from quadrat.llm.mixing import mixed
 from quadrat.llm.queries import vocabulary
-from quadrat.llm.simhash import one_of_each
+from quadrat.llm.similar import one_of_each
 from quadrat.llm.token_store import TokenStore
 from quadrat.llm.toxicity import accepted
 
@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of least id."""
+    """One document of each group of texts whose five-word shingles are similar to 0.8: that of least id."""
     return one_of_each(docs)
 
 
