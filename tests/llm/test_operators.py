@@ -192,9 +192,16 @@ def test_mixing(spark, docs, none, duck, sf_dir):
         assert target <= 2 * size + 1e-9
         assert abs(sum(r["taken"] for r in many) - target) <= max(r["size"] for r in many) / 2 + 1e-6
     assert sum(t for _, t in by) == pytest.approx(1.5 * sum(r["size"] for r in rows))
+    # longer documents are likelier, in proportion to their bit length
+    chosen = mixing.plan(mixing.keep(mixing._keyed(df, "doc_id", "text", "source"), "test")).where("p > 0 and p < 1").collect()
+    assert len({(r["s"], r["p"]) for r in chosen}) > len({r["s"] for r in chosen})
+    slopes = {}
+    for r in chosen:
+        slopes.setdefault((r["none"], r["s"]), []).append(r["p"] / r["bits"])
+    assert all(max(x) == pytest.approx(min(x)) for x in slopes.values())
     odd = mixing.mix(docs).collect()
     assert len(odd) == docs.count() and all(r["taken"] == 0 for r in odd if r["size"] == 0)
-    assert mixing.mix(none).count() == 0
+    assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and out.count() == sum(r["taken"] // r["size"] for r in odd if r["size"]) + out.where("coalesce(trim(text), '') = '' or trim(replace(text, '\n', '')) = ''").count()
 
