@@ -9,6 +9,7 @@ Layout below the store's path, all written by Spark's committed writers:
                        chunk keys and lengths, its place in the part and its Merkle root
 ``recipes/kind=manifest``  one row per part: documents, ids, Merkle root over the documents
 ``about``                  the type of the documents' ids
+``root``                   one row: how many parts there are, Merkle root over their roots
 
 A rolling hash over the last ids decides where an id stream is cut, so equal
 passages give equal chunks wherever they stand.  Texts are encoded once.
@@ -17,6 +18,7 @@ passages give equal chunks wherever they stand.  Texts are encoded once.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from array import array
@@ -33,6 +35,8 @@ from quadrat.llm.common import by_bytes, tidy
 #: Ids that the rolling hash covers, bounds and mean of a chunk's length.
 WINDOW, LEAST, MOST, MEAN = 8, 128, 4096, 512
 KEY = 16
+#: Documents in a part, about.
+MOST_DOCS = 500_000
 
 #: Characters that Unicode's versions agree on; a text with others is given to the
 #: library whole, and so is one with two blanks in a row, where a split of the text
@@ -352,7 +356,7 @@ class TokenStore:
 
     def _sort_recipes(self, kind: str) -> None:
         first = self._read("first", "recipe", f"key binary, i {kind}, n bigint, payload binary")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(first.count() / MOST_DOCS))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -377,6 +381,9 @@ class TokenStore:
         ranged = first.repartitionByRange(parts, "i", "key").sortWithinPartitions("i", "key")
         rows = ranged.mapInArrow(tidy(run), f"kind string, part int, pos bigint, rel bigint, i {kind}, n bigint, payload binary, root binary")
         rows.write.partitionBy("kind").parquet(f"{self.path}/recipes")
+        found = self.manifest().orderBy("part").collect()  # a row per part
+        top = [(len(found), bytearray(merkle_root([bytes(r["root"]) for r in found])))]
+        self.spark.createDataFrame(top, "parts bigint, root binary").coalesce(1).write.parquet(f"{self.path}/root")
 
     def _read(self, folder: str, kind: str, schema: str) -> DataFrame:
         """A kind's rows; none were written if its folder is missing."""
@@ -447,14 +454,15 @@ class TokenStore:
     def digests(self, id_col: str = "doc_id") -> DataFrame:
         """(id, start, n_tokens, ids_crc32, n_chunks) of every document, from the files.
 
-        Every chunk is read, decoded and checked once; only its length and crc
-        meet the recipes, so no ids are shuffled.  A chunk that many documents
-        share makes a skewed join, which adaptive execution splits.
+        The parts are held against the manifest first, see ``verify``.  Every chunk
+        is read, decoded and checked once; only its length and crc meet the recipes,
+        so no ids are shuffled.  A chunk that many documents share makes a skewed
+        join, which adaptive execution splits.  Raises on what is damaged or missing.
         """
         recipes = self.recipes()
-        # one number per part: the parts are as many as the shuffle partitions
+        # one number per part
         at, starts = 0, []
-        for r in self.manifest().orderBy("part").collect():
+        for r in self.verify():
             starts.append((r["part"], at))
             at += r["n_ids"]
         offsets = self.spark.createDataFrame(starts, "part int, offset bigint")
@@ -478,20 +486,46 @@ class TokenStore:
         )
 
     def read(self, id_col: str = "doc_id") -> DataFrame:
-        """(id, ids): every document put together again from its chunks."""
+        """(id, ids): every document put together again from its chunks.
+
+        Raises on what is damaged or missing, as ``digests`` does.
+        """
+        self.verify()
         recipes = self.recipes()
-        met = self._uses(recipes).join(self.chunks(with_ids=True), "key")
+        met = self._uses(recipes).join(self.chunks(with_ids=True), "key", "left")
+        fine = F.col("ids").isNotNull() & (F.size("ids") == F.col("said"))
+        met = met.withColumn("ids", F.when(fine, F.col("ids")).otherwise(F.raise_error(F.lit("a chunk is not as long as its recipe says"))))
         whole = met.groupBy("part", "pos").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
         return recipes.select("part", "pos", "i").join(whole, ["part", "pos"], "left").select(F.col("i").alias(id_col), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
-    def verify(self) -> None:
-        """Recompute each part's root from its documents in order; raises on a difference."""
+    def verify(self) -> list:
+        """The manifest in order of parts; raises unless it and all recipes are as they were written.
 
-        def roots(_: tuple, t: pa.Table) -> pa.Table:
-            t = t.sort_by("pos")
-            return pa.table({"part": t["part"][:1].combine_chunks(), "found": pa.array([merkle_root(t["root"].to_pylist())], pa.binary())})
+        The root of each part is computed again from its documents in order, in a
+        stream; the number of parts and the root over them are those written last.
+        """
 
-        found = self.recipes().select("part", "pos", "root").groupBy("part").applyInArrow(roots, "part int, found binary")
-        bad = self.manifest().join(found, "part", "full").where(~F.col("root").eqNullSafe(F.col("found")))
-        if not bad.isEmpty():
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, n, ids, tree = None, 0, 0, Merkle()
+            rows: list[tuple] = []
+            for b in batches:
+                for p, pos, m, root in zip(*(c.to_pylist() for c in b.columns)):
+                    if p != part:
+                        rows += [(part, n, ids, tree.root())] * (part is not None)
+                        part, n, ids, tree = p, 0, 0, Merkle()
+                    tree.add(root if pos == n else b"")
+                    n, ids = n + 1, ids + m
+            rows += [(part, n, ids, tree.root())] * (part is not None)
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["part", "n_docs", "n_ids", "root"])
+
+        said = self.manifest().orderBy("part").collect()  # a row per part
+        ordered = self.recipes().select("part", "pos", "n", "root").repartition(max(1, len(said)), "part").sortWithinPartitions("part", "pos")
+        found = ordered.mapInArrow(tidy(run), "part int, n_docs bigint, n_ids bigint, root binary").orderBy("part").collect()
+        top = self.spark.read.schema("parts bigint, root binary").parquet(f"{self.path}/root").collect()
+        if len(top) != 1 or top[0]["parts"] != len(said) or bytes(top[0]["root"]) != merkle_root([bytes(r["root"]) for r in said]):
+            raise ValueError("the manifest is not the one that was written")
+        if list(map(tuple, found)) != list(map(tuple, said)):
             raise ValueError("a part does not match the manifest")
+        return said

@@ -107,15 +107,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit on at most ``most_rows`` labelled rows outside the held-out fold.
 
     Beyond that bound the rows are those of least hash of the id.  Null labels and
-    ids are left out; of repeated labels the largest counts, of repeated ids every
-    text counts.  Without any row the model gives every text the same low score.
+    ids are left out; of repeated labels the largest counts, of the texts of repeated
+    ids the least by code point.  Without any row the model gives every text the same low score.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     known = keep(known.orderBy(F.xxhash64("i"), "i").limit(most_rows), "toxic-labels")
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     # the label side has most_rows rows of two numbers at most
-    rows = keep(texts.join(F.broadcast(known), "i").select("t", "y"), "toxic-rows")
+    rows = texts.join(F.broadcast(known), "i").groupBy("i").agg(F.min("t").alias("t"), F.first("y").alias("y"))
+    rows = keep(rows.select("t", "y"), "toxic-rows")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

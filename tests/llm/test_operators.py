@@ -69,6 +69,35 @@ def test_store_finds_damage(spark, tmp_path):
     assert store.manifest().count() == 1
 
 
+@pytest.mark.parametrize("what", ["recipe", "chunk", "manifest", "order"])
+def test_store_finds_what_is_missing(spark, tmp_path, what):
+    """A recipe, a chunk or a part of the manifest taken away, or two documents exchanged."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(150))) for k in range(50)], "doc_id long, text string")
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    whole = token_store.TokenStore(spark, a).write(df, vocabulary("byte_bpe_50k.json"))
+    assert whole.digests().count() == 50 and whole.read().count() == 50
+    for folder in ("about", "root", "first", "recipes"):
+        rows = spark.read.parquet(f"{a}/{folder}")
+        if folder == "first" and what == "chunk":
+            gone = rows.where("kind = 'chunk'").agg(F.min("key")).first()[0]
+            rows = rows.where((F.col("kind") != "chunk") | (F.col("key") != F.lit(gone)))
+        if folder == "recipes" and what == "recipe":
+            rows = rows.where("kind != 'recipe' or i != 17")
+        if folder == "recipes" and what == "manifest":
+            part = rows.where("i = 17").first()["part"]
+            rows = rows.where(f"part != {part}")
+        if folder == "recipes" and what == "order":
+            two = rows.where("kind = 'recipe'").groupBy("part").agg(F.min("pos").alias("p"), F.max("pos").alias("q")).where("p < q").first()
+            swap = F.when(F.col("pos") == two["p"], two["q"]).when(F.col("pos") == two["q"], two["p"]).otherwise(F.col("pos"))
+            rows = rows.withColumn("pos", F.when((F.col("kind") == "recipe") & (F.col("part") == two["part"]), swap).otherwise(F.col("pos")))
+        rows = rows.coalesce(1)
+        (rows.write.partitionBy("kind") if "kind" in rows.columns else rows.write).parquet(f"{b}/{folder}")
+    for ask in (lambda s: s.digests(), lambda s: s.read()):
+        with pytest.raises(Exception, match="manifest|recipe says"):
+            ask(token_store.TokenStore(spark, b)).collect()
+
+
 def test_encoder_equals_library():
     path = vocabulary("byte_bpe_50k.json")
     encoder = token_store.Encoder(open(path, encoding="utf-8").read(), most_words=50)
@@ -123,6 +152,36 @@ def test_decontamination(spark, docs, none):
     assert clean == {i for i, _ in rows} - {i for i, _ in want}
     assert decontaminate.contaminated(docs, bench.where("item_id < 90")).count() == 0 and decontaminate.contaminated(none, bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+    assert decontaminate.without_items(docs, bench.limit(0)).count() == docs.count() and decontaminate.without_items(none, bench).count() == 0
+    twice = df.where("doc_id = 100").union(df.where("doc_id = 100")).union(df.where("doc_id = 102")).withColumn("item_id", F.lit("x"))
+    assert decontaminate.contaminated(twice, bench).count() == 2 and [r["doc_id"] for r in decontaminate.without_items(twice, bench).collect()] == [102]
+
+
+def test_index_of_fingerprints():
+    """The multi-index finds all fingerprints in the radius and looks at few others; similar texts lie in the radius."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(5000)]
+    texts = [[words[k] for k in rng.integers(0, 5000, rng.integers(20, 120))] for _ in range(1500)]
+    index = decontaminate.Index(list(range(1500)), texts, {}, 1.0)
+    seen = 0
+    for k in range(300):
+        fp = index.prints[rng.integers(1500)].copy()
+        flips = rng.choice(decontaminate.BITS, rng.integers(0, 90), replace=False)
+        np.bitwise_xor.at(fp, flips // 8, np.left_shift(1, flips % 8).astype(np.uint8))
+        apart = np.bitwise_count(index.prints ^ fp).sum(axis=1)
+        assert index.within(fp) == [(int(i), int(apart[i])) for i in np.flatnonzero(apart <= decontaminate.RADIUS)]
+        seen += len(index.candidates(fp))
+    assert seen < 0.02 * 300 * 1500
+    lost = total = 0
+    for k, t in enumerate(texts):
+        w = list(t)
+        for at in rng.choice(len(w), max(1, len(w) // 45), replace=False):
+            w[at] = "zzz"
+        if decontaminate.similarity(decontaminate.Counter(decontaminate.shingles(w)), index.bags[k], lambda s: 1.0) >= 0.8:
+            found = decontaminate.shingles(w)
+            total += 1
+            lost += k not in [i for i, _ in index.within(decontaminate.fingerprint(decontaminate._hashes(found), np.ones(len(found))))]
+    assert total > 500 and lost <= 0.005 * total
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
@@ -178,6 +237,32 @@ def test_toxicity(spark, docs, none):
     assert all(r["predicted"] == 0 for r in toxicity.toxicity(docs, lab.limit(0)).collect())
 
 
+def test_machine_against_all_pairs():
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(np.arange(12), 0.3, rng.normal(size=12), rng.normal(size=(12, toxicity.FACTORS)))
+    rows = [np.sort(rng.choice(12, n, replace=False)) for n in (0, 1, 2, 5, 12)]
+    want = [0.3 + m.weights[r].sum() + sum(m.vectors[a] @ m.vectors[b] for k, a in enumerate(r) for b in r[:k]) for r in rows]
+    assert m.logits(rows) == pytest.approx(want)
+    texts = ["", None, "some Insults here", "insults " * 3000]
+    scorer = toxicity.Scorer(toxicity.Machine(np.array(sorted(toxicity.terms("some insults words"))), -1.0, rng.normal(size=10)[: len(toxicity.terms("some insults words"))], rng.normal(size=(len(toxicity.terms("some insults words")), 8))))
+    place = scorer.place
+    for t, got in zip(texts, scorer(texts)):
+        r = [place[x] for x in toxicity.terms(t or "") if x in place]
+        z = -1.0 + scorer.model.weights[r].sum() + sum(scorer.model.vectors[a] @ scorer.model.vectors[b] for k, a in enumerate(r) for b in r[:k])
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_of_odd_labels(spark):
+    """Null and conflicting labels, repeated ids: the bound holds for the rows learned from."""
+    docs = spark.createDataFrame([(k % 40, f"good text {k}" if k % 2 else f"vile text {k}", "x") for k in range(400)] + [(None, "vile", "x"), (7, None, "x")], "doc_id long, text string, toxic string")
+    lab = spark.createDataFrame([(k, 1 - k % 2) for k in range(40)] + [(3, 1), (5, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, lab).collect()
+    assert len(got) == 402 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    assert len({r["score"] for r in toxicity.toxicity(docs, lab.where("toxic is null")).collect()}) == 1
+    kept = toxicity.accepted(docs, lab)
+    assert kept.columns == docs.columns and kept.count() == sum(1 - r["predicted"] for r in got)
+
+
 # ---- 4 -------------------------------------------------------------------------------
 def test_mixing(spark, docs, none, duck, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
