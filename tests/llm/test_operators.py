@@ -483,6 +483,28 @@ def test_html(spark, sf_dir):
     assert html_text.extract(odd.limit(0)).count() == 0
 
 
+def test_html_where_names_mislead():
+    """Names of what stands beside, parts of the content, and pages without an article element."""
+    a = "A paragraph of some length about the harbour, its boats and the people who work there. It has two sentences, as paragraphs do, and some more words."
+    b = "Another one follows it. The boats leave before light, and come back when the market opens; what they bring is sold within the hour, as a rule."
+    body, want = f"<p>{a}</p><p>{b}</p>", f"{a}\n{b}"
+    legal = "<div><p>Copyright 2020 The Harbour Post. All rights reserved. No part of this page may be reproduced in any form without permission.</p></div>"
+    menu = "<div>" + "".join(f"<div><a href=x>{m}</a></div>" for m in ("Home", "News", "Boats")) + "</div>"
+    for page in (f'<main class="content has-sidebar">{body}</main>', f'<div class="layout-with-nav">{body}</div>', f'<div class="post-header-image content">{body}</div>', f"<article>{body}</article>{legal}", f"{menu}<div>{body}</div>{legal}", f"{menu}<table><tr><td>{body}</td></tr></table><div>© 2020 The Post</div>"):
+        assert html_text.main_text(page) == want, page
+    assert html_text.main_text(f'<article><header class="entry-header"><h1>My title</h1></header>{body}</article>') == f"My title\n{want}"
+    assert html_text.main_text(f"<article>{body}<p>So.</p></article><div class=comments><article>{body}</article></div>") == f"{want}\nSo."
+
+
+def test_cut_overturns_the_classifier():
+    """A short line between paragraphs, which alone would be left out, goes with its neighbours."""
+    text = "A sentence of a fair length which is part of the article here. And one more, to be sure that it is taken for one of them."
+    page = html_text.Page(f"<div><div>{text}</div><div>by <a>hand</a> and by eye</div><div>{text}</div></div>")
+    odds = [html_text.log_odds(page, b) for b in page.blocks]
+    assert odds[0] > 0 > odds[1] and odds[2] > 0
+    assert html_text.minimum_cut(odds, html_text.ties(page)) == [True, True, True]
+
+
 def test_minimum_cut_against_all_labellings():
     rng = random.Random(4)
     for _ in range(60):
