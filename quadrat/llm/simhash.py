@@ -28,41 +28,40 @@ from quadrat.llm.components import components
 
 SEGMENTS, WIDTH, GROUPS, RADIUS, MOST = 32, 2, 5, 2, 16
 SEED = 42
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: What separates words: everything else is part of one.
-_BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _BITS = np.array([[v >> k & 1 for k in range(8)] for v in range(256)], np.int32)
 
 
-def words(text: str) -> list[str]:
-    return [w for w in text.translate(_UPPER).translate(_BLANKS).split(" ") if w]
+def words(text: str) -> list[bytes]:
+    """The words in UTF-8; of bytes only A-Z are lowered, and only the six blanks of ASCII separate."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingles(text: str, width: int = 3) -> list[str]:
+def shingles(text: str, width: int = 3) -> list[bytes]:
     """Runs of ``width`` words joined by spaces; fewer words give one run, none give none."""
     found = words(text)
     if len(found) <= width:
-        return [" ".join(found)] if found else []
-    n = len(found) - width + 1
-    return [" ".join(x) for x in zip(*(found[k : k + n] for k in range(width)))]
+        return [b" ".join(found)] if found else []
+    return list(map(b" ".join, zip(*(found[k : len(found) - width + 1 + k] for k in range(width)))))
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """64 bits; a bit is 1 if it is set in over half of the shingles' XXH64."""
-    import xxhash
-
-    digest = xxhash.xxh64_intdigest
-    found = [digest(s.encode("utf-8", "surrogatepass"), SEED) for s in shingles(text, width)]
-    if not found:
+def majority(h: np.ndarray) -> int:
+    """64 bits; a bit is 1 if it is set in over half of the hashes (uint64)."""
+    if not len(h):
         return 0
-    h = np.array(found, np.uint64)
-    octets = h.view(np.uint8).reshape(-1, 8)
+    octets = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)
     if len(h) < 200:
         counts = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     else:
         counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
-    bits = np.packbits(counts * 2 > len(h), bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str, width: int = 3) -> int:
+    """64 bits; a bit is 1 if it is set in over half of the shingles' XXH64."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(s, SEED) for s in shingles(text, width)], np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

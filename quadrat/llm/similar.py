@@ -2,10 +2,10 @@
 
 SimHash proposes pairs within its radius.  Texts of Jaccard similarity ``LEAST`` differ
 in ten bits of 64 as a rule, far beyond any radius that a grid can answer, so pairs are
-proposed by prefixes as well: under one order of all shingles (that of their hashes) two
-sets of that similarity share one of their first ``(1 - LEAST) * size + 1`` shingles.
-Shared prefixes bound the overlap of a pair from above; what the bound leaves open is
-decided by the shingles themselves.
+proposed by bands of minima as well: of two sets of similarity s, a band of ``ROWS``
+independent minimum hashes agrees with probability s ** ROWS, so one of ``BANDS`` does
+with 1 - (1 - s ** ROWS) ** BANDS: of pairs at the threshold 6 in a million are not
+proposed, of more similar ones fewer.  The shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -26,16 +26,18 @@ from quadrat.llm.passages import numbers
 
 #: Words of a shingle, least similarity.
 WIDTH, LEAST = 5, 0.8
-#: Texts that share a shingle and are paired; more are compared with the least of their size.
+#: Bands of a signature, minimum hashes in each.
+BANDS, ROWS = 30, 5
+#: Texts that share a band and are paired; more are compared with the least of their size.
 MOST = 8
-#: Further rounds for texts left apart from most that share a shingle, and members of each
-#: size that they meet in each of their shingles then.
+#: Further rounds for texts left apart from most that share a band, and members of each
+#: size that they meet in each of their bands then.
 ROUNDS, PICKS = 3, 4
 #: Bytes of text that a task hashes at once, about.
 SLICE = 1 << 20
 
 
-def shingle_set(text: str, width: int = WIDTH) -> set[str]:
+def shingle_set(text: str, width: int = WIDTH) -> set[bytes]:
     return set(simhash.shingles(text, width))
 
 
@@ -45,8 +47,28 @@ def similarity(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
-def _prefixes(texts: list[list[str]], width: int, least: float) -> list[tuple[int, np.ndarray]]:
-    """(shingles, the least hashes in order) of each text."""
+_RANDOM = np.random.default_rng(29).integers(1, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
+
+
+def signature(h: np.ndarray) -> np.ndarray:
+    """The bands (longs) of a set of shingle hashes; none of an empty set."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 4096):
+        x = (h[None, at : at + 4096] ^ _RANDOM[0]) * _RANDOM[1]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        least = np.minimum(least, x.min(axis=1))
+    band = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        band = (band ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        band ^= band >> np.uint64(29)
+    return band.view(np.int64)
+
+
+def _hashed(texts: list[list[bytes]], width: int) -> list[np.ndarray]:
+    """A hash of each shingle of each text, repeats included."""
     n, ends = numbers(texts)
     h = np.zeros(max(len(n) - width + 1, 0), np.uint64)
     for k in range(width if len(h) else 0):
@@ -54,45 +76,36 @@ def _prefixes(texts: list[list[str]], width: int, least: float) -> list[tuple[in
         h ^= h >> np.uint64(31)
     out = []
     for at, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        if end - at >= width:
-            own = np.unique(h[at : end - width + 1].view(np.int64))
+        if end - at >= width or end == at:
+            out.append(h[at : max(end - width + 1, at)])
         else:  # the whole sequence is one shingle
-            own = np.array([np.bitwise_xor.reduce(n[at:end] * np.arange(3, 2 * (end - at) + 3, 2, np.uint64)).view(np.int64)] if end > at else [], np.int64)
-        out.append((len(own), own[: math.floor((1 - least) * len(own) + 1e-9) + 1]))
+            out.append(np.bitwise_xor.reduce(n[at:end] * np.arange(3, 2 * (end - at) + 3, 2, np.uint64), keepdims=True))
     return out
 
 
-def _open(a: np.ndarray, b: np.ndarray, x: int, y: int, least: float) -> bool:
-    """Whether sets of ``x`` and ``y`` shingles with prefixes ``a`` and ``b`` can be similar."""
-    upto = min(a[-1], b[-1])
-    u, v = int(np.searchsorted(a, upto, side="right")), int(np.searchsorted(b, upto, side="right"))
-    both = len(np.intersect1d(a[:u], b[:v], assume_unique=True)) + min(x - u, y - v)
-    return both >= least / (1 + least) * (x + y) - 1e-9
-
-
-def _looked_at(rows: DataFrame, width: int, least: float) -> DataFrame:
-    """(tag, key, fp, n, pre) of rows (tag, t)."""
+def _looked_at(rows: DataFrame, width: int) -> DataFrame:
+    """(tag, key, fp, n, bands) of rows (tag, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for some in by_bytes(b, 1, SLICE):
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                split = [simhash.words(t) for t in texts]
-                keys = [hashlib.md5(" ".join(w).encode("utf-8", "surrogatepass")).hexdigest() for w in split]
+                split = [simhash.words(t or "") for t in some.column(1).to_pylist()]
+                keys = [hashlib.md5(b" ".join(w)).hexdigest() for w in split]
                 first = {k: n for n, k in reversed(list(enumerate(keys)))}
-                sizes, pres = zip(*_prefixes([w if first[k] == n else [] for n, (k, w) in enumerate(zip(keys, split))], width, least))
-                prints = {k: simhash.fingerprint(texts[n], width) for k, n in first.items()}
+                made = {k: h for k, h in zip(first, _hashed([split[n] for n in first.values()], width))}
+                sets = {k: np.unique(h) for k, h in made.items()}
+                prints, bands = {k: simhash.majority(h) for k, h in made.items()}, {k: signature(h) for k, h in sets.items()}
                 fp = pa.array(np.array([prints[k] for k in keys], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys), fp, pa.array([sizes[first[k]] for k in keys], pa.int32()), pa.array([pres[first[k]] for k in keys], pa.list_(pa.int64()))], names=["tag", "key", "fp", "n", "pre"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys), fp, pa.array([len(sets[k]) for k in keys], pa.int32()), pa.array([bands[k] for k in keys], pa.list_(pa.int64()))], names=["tag", "key", "fp", "n", "bands"])
 
-    return rows.select("tag", "t").mapInArrow(tidy(run), "tag bigint, key string, fp bigint, n int, pre array<bigint>")
+    return rows.select("tag", "t").mapInArrow(tidy(run), "tag bigint, key string, fp bigint, n int, bands array<bigint>")
 
 
 def _placed(nodes: DataFrame, least: float) -> DataFrame:
-    """(h, k, node, n, step) of the prefix shingles that k > 1 nodes share; ``step`` is the logarithm of the size."""
+    """(h, k, node, n, step) of the bands that k > 1 nodes share; ``step`` is the logarithm of the size."""
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(least))).cast("int")
-    placed = nodes.select("node", "n", step.alias("step"), F.explode("pre").alias("h"))
-    sizes = keep(placed.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "similar-shingles")
+    placed = nodes.select("node", "n", step.alias("step"), F.explode("bands").alias("h"))
+    sizes = keep(placed.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "similar-bands")
     return keep(placed.join(sizes, "h"), "similar-met")
 
 
@@ -108,11 +121,11 @@ def _candidates(nodes: DataFrame, met: DataFrame, least: float) -> DataFrame:
     near = simhash.links(prints.select("fp"))
     ends = lambda c: prints.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}"))
     near = near.join(ends("a"), "a").join(ends("b"), "b").select(*_ordered("low_a", "low_b"))
-    # by prefix: sizes differ by a factor of 1 / least at most, so by one step of the logarithm
+    # by band: sizes differ by a factor of 1 / least at most, so by one step of the logarithm
     small = met.where(F.col("k") <= MOST).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
     small = small.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: (y["node"] > F.col("x.node")) & (F.least(y["n"], F.col("x.n")) >= F.greatest(y["n"], F.col("x.n")) * F.lit(least)))).alias("y"))
     small = small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    # many that share a shingle meet the least of their size, and of the sizes beside it
+    # many that share a band meet the least of their size, and of the sizes beside it
     large = met.where(F.col("k") > MOST)
     low = keep(large.groupBy("h", "step").agg(F.min("node").alias("low")), "similar-low")
     wide = large.select("h", "node", F.explode(_steps()).alias("step")).join(low, ["h", "step"]).where("node != low").select(*_ordered("node", "low"))
@@ -124,7 +137,7 @@ def _steps() -> Column:
 
 
 def _left_apart(met: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b): more pairs for the nodes outside the largest group of many that share a shingle."""
+    """(a, b): more pairs for the nodes outside the largest group of many that share a band."""
     large = met.where(F.col("k") > MOST).join(found.withColumnRenamed("root", "group"), "node", "left").select("h", "node", "step", F.coalesce("group", "node").alias("group"))
     top = large.groupBy("h", "group").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "group")).alias("top"))
     out = large.join(keep(top, "similar-top"), "h").where("group != top.group").select("h", "node", F.explode(_steps()).alias("step"))
@@ -134,15 +147,15 @@ def _left_apart(met: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def groups(nodes: DataFrame, texts: DataFrame, least: float = LEAST, width: int = WIDTH) -> DataFrame:
-    """(node, root): the components of ``nodes`` (node, fp, n, pre) whose ``texts`` (node, t) are similar."""
+    """(node, root): the components of ``nodes`` (node, fp, n, bands) whose ``texts`` (node, t) are similar."""
     met = _placed(nodes, least)
     asked = keep(_candidates(nodes, met, least), "similar-candidates")
-    edges = keep(_verified(asked, nodes, texts, least, width), "similar-edges")
+    edges = keep(_verified(asked, texts, least, width), "similar-edges")
     found = components(edges)
     for _ in range(0 if met.where(F.col("k") > MOST).isEmpty() else ROUNDS):
         found = keep(found, "similar-found")
         more = keep(_left_apart(met, found).join(asked, ["a", "b"], "left_anti"), "similar-more")
-        new = keep(_verified(more, nodes, texts, least, width), "similar-edges")
+        new = keep(_verified(more, texts, least, width), "similar-edges")
         if new.isEmpty():
             break
         asked, edges = asked.union(more), edges.union(new)
@@ -150,19 +163,9 @@ def groups(nodes: DataFrame, texts: DataFrame, least: float = LEAST, width: int
     return found
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
     """The similar ones of ``pairs`` (a, b)."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("pre").alias(f"pre_{c}"))
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(4).to_pylist()
-            stays = [_open(p.values.to_numpy(), q.values.to_numpy(), m, n, least) if m and n else m == n for m, p, n, q in zip(x, b.column(3), y, b.column(5))]
-            yield b.select(["a", "b"]).filter(pa.array(stays, pa.bool_()))
-
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "pre_a", "n_b", "pre_b")
-    likely = keep(likely.mapInArrow(tidy(bounded), "a bigint, b bigint"), "similar-likely")
-    asked = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = keep(texts.join(asked.hint("merge"), "node", "left_semi"), "similar-texts")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +184,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float
             yield b.select(["a", "b"]).filter(pa.array(stays, pa.bool_()))
 
     here, there = texts.select(F.col("node").alias("a"), F.col("t").alias("x")), texts.select(F.col("node").alias("b"), F.col("t").alias("y"))
-    return likely.join(here, "a").join(there, "b").select("a", "b", "x", "y").mapInArrow(tidy(verified), "a bigint, b bigint")
+    return pairs.join(here, "a").join(there, "b").select("a", "b", "x", "y").mapInArrow(tidy(verified), "a bigint, b bigint")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
@@ -189,11 +192,11 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Two texts are linked if their sets of ``width``-word shingles have a Jaccard
     similarity of ``least`` or more (fewer words are one shingle; words as in
-    ``simhash``); groups are the components.  Texts of equal words are one node, and a
-    shingle of over ``MOST`` nodes compares each with the least nodes of like size
-    first; nodes that stay apart from most of those they share a shingle with meet
-    ``PICKS`` more in every shingle, in rounds while that links any.  So the work
-    follows the shingles, not the pairs.
+    ``simhash``); groups are the components.  Texts of equal words are one node, and in
+    a band of over ``MOST`` nodes each is compared with the least nodes of like size
+    first; nodes that stay apart from most of those they share a band with meet
+    ``PICKS`` more in every band, in rounds while that links any.  So the work follows
+    the texts, not the pairs.
 
     The row of least id stays, a null id only if its group has no other; of repeated
     ids one row stays.  Null, empty and blank texts are alike.  Very long texts are read
@@ -201,9 +204,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.monotonically_increasing_id().alias("tag"))
     rows = keep(rows, "similar-rows")  # from here on a row's tag is fixed
-    looked = keep(_looked_at(rows, width, least), "similar-looked")
+    looked = keep(_looked_at(rows, width), "similar-looked")
     keys = keep(looked.groupBy("key").agg(F.min("tag").alias("node")), "similar-keys")
-    nodes = keep(looked.join(keys.select(F.col("node").alias("tag")), "tag", "left_semi").select(F.col("tag").alias("node"), "fp", "n", "pre"), "similar-nodes")
+    nodes = keep(looked.join(keys.select(F.col("node").alias("tag")), "tag", "left_semi").select(F.col("tag").alias("node"), "fp", "n", "bands"), "similar-nodes")
     found = groups(nodes, rows.select(F.col("tag").alias("node"), F.coalesce("t", F.lit("")).alias("t")), least, width)
     rooted = keys.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct(F.col("i").isNull(), "i", "tag")).alias("x")
