@@ -1,12 +1,15 @@
 """Personal data: weak labelers vote on spans, EM weighs them, a classifier decides.
 
-All work over rows is SQL: regular expressions find candidate spans, labelers
-(strict form, gazetteer of cue words, context, checksum or structure) vote yes,
-no or nothing on each, and the votes of all candidates are counted by pattern.
-The pattern table has at most ``len(KINDS) * 3 ** LABELERS`` rows whatever the
-input; expectation-maximisation over it estimates each labeler's reliability,
-and its posteriors train a logistic classifier whose weights go back into SQL.
-Spans that meet the fixed definitions are always kept.
+All work over rows is SQL: regular expressions find candidate spans, labelers (strict
+form, gazetteer, context, what it is glued to, structure) vote yes, no or nothing on
+each.  The gazetteer looks the span itself up: top-level domains, issuer and calling
+codes, reserved networks; the context labeler reads cue words before the span.  The
+votes of all candidates are counted by pattern, with the shape of the span (length,
+separators, place in its line), so the table has at most ``len(KINDS) * 3 ** LABELERS *
+SHAPES`` rows whatever the input.  Expectation-maximisation over it estimates each
+labeler's reliability, and its posteriors train a logistic classifier on votes and
+shapes whose weights go back into SQL.  Spans that meet the fixed definitions are
+always kept.
 """
 
 from __future__ import annotations
@@ -14,13 +17,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import keep
 
 KINDS = ("email", "ip", "card", "phone")
-LABELERS = 4
+#: Labelers, features of a span's shape, and how many shapes there are.
+LABELERS, FEATURES, SHAPES = 5, 4, 12
 
 #: The fixed definitions.  A leading ``(?<!x)|\G`` only forbids starts in the middle of
 #: a run, which a leftmost search never takes, and keeps the search linear.  A card is
@@ -47,6 +52,13 @@ _CUES = {
     "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp)\b",
 }
 _NOT_CUES = r"(?i)(?:version|ver\.|release|isbn|section|fig\.|key ?=|token ?=|hash|sha1|serial|order no)\W{0,3}$"
+#: Gazetteers (fixed lists): generic top-level domains, beginnings of card numbers by
+#: issuer, country calling codes, networks that are no one's address.
+_TOP_DOMAINS = "com org net edu gov mil int info biz name pro museum aero coop jobs mobi travel asia cat tel io app dev online site xyz"
+_COUNTRIES = "at au be br ca ch cn cz de dk es eu fi fr gr hu ie il in it jp kr mx nl no nz pl pt ro ru se sg tr tw ua uk us za"
+_ISSUERS = r"(?:4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|3(?:0[0-5]|[689])|35(?:2[89]|[3-8])|6(?:011|4[4-9]|5))"
+_CALLING = r"(?:1|7|2(?:[07]|[1-689][0-9])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[7-9][0-9])|8(?:[1246]|[0578][0-9])|9(?:[0-58]|[679][0-9]))"
+_RESERVED = r"(?:0|127|255|22[4-9]|23[0-9]|24[0-9]|25[0-4])\."
 _CONTEXT = 24
 _BLOCK = 128
 
@@ -107,21 +119,38 @@ def _holds(kind: str, m: Column) -> Column:
 def _structure(kind: str, m: Column) -> Column:
     """Vote of the checksum or structure labeler."""
     if kind == "email":
-        return F.when(m.rlike(r"(?i)(?:\.|dot[\])] ?)(?:com|org|net|edu|gov|info|io|[a-z]{2})$"), 1).otherwise(0)
+        return F.when(m.rlike(r"^[.]|[.]@|[.][.]|@-|-[.]|-$"), -1).when(m.rlike(r"^[^@]{1,64}@[^@]+$"), 1).otherwise(0)
     if kind == "ip":
-        return F.when(m.rlike(r"^(?:0|255)\."), -1).when(m.rlike(r"^[0-9]\.[0-9]\.[0-9]\.[0-9]$"), 0).otherwise(1)
+        return F.when(m.rlike(r"^[0-9]\.[0-9]\.[0-9]\.[0-9]$"), 0).when(m.rlike(r"(?:^|\.)0[0-9]"), -1).otherwise(1)
     if kind == "card":
         return F.when(_luhn(m), 1).otherwise(-1)
     return F.when(F.length(_digits(m)).between(10, 15), 1).otherwise(-1)
 
 
+def _gazetteer(kind: str, m: Column) -> Column:
+    """Vote of the gazetteer: whether the span itself is listed."""
+    if kind == "email":
+        known = "|".join(f"{_TOP_DOMAINS} {_COUNTRIES}".split())
+        return F.when(m.rlike(rf"(?i)(?:\.|dot ?[\])]) ?(?:{known})$"), 1).when(m.rlike(r"(?i)\.(?:png|jpg|gif|svg|js|css|py|txt|html|local|invalid|example)$|@[0-9.]+$"), -1).otherwise(0)
+    if kind == "ip":
+        return F.when(m.rlike(rf"^{_RESERVED}"), -1).otherwise(0)
+    if kind == "card":
+        return F.when(_digits(m).rlike(rf"^{_ISSUERS}"), 1).otherwise(-1)
+    return F.when(m.rlike(r"^\+"), F.when(_digits(m).rlike(rf"^{_CALLING}"), 1).otherwise(-1)).when(_digits(m).rlike("^[2-9][0-9]{2}[2-9]"), 1).otherwise(-1)
+
+
 def _votes(kind: str, text: Column, x: Column, base: Column) -> list[Column]:
+    """The labelers' votes on a span, then its shape: two length bins, mixed separators, start of a line."""
+    m = x["m"]
     before = F.substring(text, F.greatest(x["s"] - _CONTEXT + 1, F.lit(1)), F.least(x["s"], F.lit(_CONTEXT)))
-    after = F.substring(text, x["s"] + F.length(x["m"]) + 1, F.lit(1))
+    after = F.substring(text, x["s"] + F.length(m) + 1, F.lit(1))
     strict = F.when(base, 1).otherwise(0)
     cue = F.when(before.rlike(_CUES[kind]), 1).when(before.rlike(_NOT_CUES), -1).otherwise(0)
     glued = before.rlike(r"""[A-Za-z0-9=/_"']$""") | after.rlike(r"""[A-Za-z0-9=/_"']""")
-    return [strict, cue, F.when(glued, -1).otherwise(1), _structure(kind, x["m"])]
+    size, first = F.length(m), (x["s"] == 0) | before.rlike(r"\n$")
+    mixed = (m.contains(" ").cast("int") + m.contains("-").cast("int") + m.contains(".").cast("int")) > 1
+    shape = [(size >= 13).cast("int"), (size >= 18).cast("int"), mixed.cast("int"), first.cast("int")]
+    return [strict, _gazetteer(kind, m), cue, F.when(glued, -1).otherwise(1), _structure(kind, m), *shape]
 
 
 def _span(kind: str, loose: bool, text: Column) -> Callable[[Column], Column]:
@@ -142,13 +171,14 @@ def _span(kind: str, loose: bool, text: Column) -> Callable[[Column], Column]:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(i, c): per row, its candidate spans (s, k, e, base, v1..v4), ordered by start, then kind."""
+    """(i, c): per row, its candidate spans (s, k, e, base, v1..v9), ordered by start, then kind."""
     text = F.col("t")
     rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     digit = text.rlike("[0-9]")
     gate = {"email": text.contains("@"), "ip": digit & text.contains("."), "card": digit, "phone": digit & text.contains("+")}
     loose_gate = {"email": text.rlike(r"[\[(] ?at ?[\])]"), "phone": digit, "card": digit}
-    none = F.array().cast("array<struct<s:int,k:int,e:int,base:boolean,v1:int,v2:int,v3:int,v4:int>>")
+    votes = ",".join(f"v{n + 1}:int" for n in range(LABELERS + FEATURES))
+    none = F.array().cast(f"array<struct<s:int,k:int,e:int,base:boolean,{votes}>>")
     found = []
     for loose, forms in ((False, _BASE), (True, _LOOSE)):
         for kind, pattern in forms.items():
@@ -159,44 +189,35 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def learn(patterns: list[tuple], rounds: int = 50) -> list[float]:
-    """Weights of the span classifier (bias, then a weight per labeler's vote).
+    """Weights of the span classifier (bias, then a weight per labeler's vote and per feature).
 
-    ``patterns`` are (v1..v4, count).  EM of the two-class model with labelers
-    independent given the class: a labeler votes yes, nothing or no with
-    probabilities of its own per class.  Then logistic regression on the votes,
-    each pattern weighing its count and labelled by its posterior.
+    ``patterns`` are (votes, features, count).  EM of the two-class model with labelers
+    independent given the class: a labeler votes yes, nothing or no with probabilities
+    of its own per class.  Then logistic regression on votes and features, each pattern
+    weighing its count and labelled by its posterior.
     """
     if not patterns:
-        return [-1.0] + [0.0] * LABELERS
-    votes, counts = [p[:LABELERS] for p in patterns], [float(p[LABELERS]) for p in patterns]
-    total = sum(counts)
-    post = [1 / (1 + math.exp(-sum(v))) for v in votes]  # start: majority
+        return [-1.0] + [0.0] * (LABELERS + FEATURES)
+    table = np.array(patterns, float)
+    votes, counts = table[:, :LABELERS], table[:, -1]
+    said = [votes == v for v in (-1, 0, 1)]
+    post = 1 / (1 + np.exp(-votes.sum(axis=1)))  # start: majority
     for _ in range(rounds):
-        prior = (sum(c * q for c, q in zip(counts, post)) + 1) / (total + 2)
-        table = []
-        for j in range(LABELERS):
-            seen = {(y, v): 1.0 for y in (0, 1) for v in (-1, 0, 1)}
-            seen[(1, 1)] += 2.0  # labelers are better than chance
-            seen[(0, -1)] += 2.0
-            for v, c, q in zip(votes, counts, post):
-                seen[(1, v[j])] += c * q
-                seen[(0, v[j])] += c * (1 - q)
-            mass = [sum(seen[(y, v)] for v in (-1, 0, 1)) for y in (0, 1)]
-            table.append({k: n / mass[k[0]] for k, n in seen.items()})
-        post = []
-        for v in votes:
-            z = math.log(prior / (1 - prior)) + sum(math.log(table[j][(1, v[j])] / table[j][(0, v[j])]) for j in range(LABELERS))
-            post.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-    w = [0.0] * (LABELERS + 1)
-    for step in range(400):
-        grad = [1e-3 * x for x in w]
-        for v, c, q in zip(votes, counts, post):
-            x = (1, *v)
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x))))))
-            for j, a in enumerate(x):
-                grad[j] += c / total * (p - q) * a
-        w = [a - 1.0 * g for a, g in zip(w, grad)]
-    return w
+        prior = ((counts * post).sum() + 1) / (counts.sum() + 2)
+        z = math.log(prior / (1 - prior)) + np.zeros(len(votes))
+        yes, no = (np.array([(x * w[:, None]).sum(axis=0) + 1 for x in said]) for w in (counts * post, counts * (1 - post)))
+        yes[2] += 2.0  # labelers are better than chance
+        no[0] += 2.0
+        odds = np.log(yes / yes.sum(axis=0)) - np.log(no / no.sum(axis=0))
+        for x, v in zip(said, odds):
+            z += (x * v).sum(axis=1)
+        post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    x = np.hstack([np.ones((len(table), 1)), table[:, :-1]])
+    w = np.zeros(x.shape[1])
+    for _ in range(400):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= ((counts / counts.sum() * (p - post)) @ x + 1e-3 * w)
+    return w.tolist()
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -209,7 +230,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     """
     rows = keep(candidates(docs, id_col, text_col), "pii-candidates")
     every = rows.where(F.size("c") > 0).select(F.explode("c").alias("c")).select("c.*")
-    names = [f"v{n + 1}" for n in range(LABELERS)]
+    names = [f"v{n + 1}" for n in range(LABELERS + FEATURES)]
     counted = every.groupBy("k", *names).agg(F.count("*").alias("n")).collect()
     weights = [learn(sorted(tuple(r[n] for n in names) + (r["n"],) for r in counted if r["k"] == k)) for k in range(len(KINDS))]
 
