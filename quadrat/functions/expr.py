@@ -133,10 +133,10 @@ class Expr:
         return self._two(o, lambda a, b: _divide(b, a))
 
     def __floordiv__(self, o):
-        return self._two(o, lambda a, b: F.floor(_divide(a, b)))
+        return self._two(o, lambda a, b: F.floor(_divide(a, b)).cast("double"))
 
     def __rfloordiv__(self, o):
-        return self._two(o, lambda a, b: F.floor(_divide(b, a)))
+        return self._two(o, lambda a, b: F.floor(_divide(b, a)).cast("double"))
 
     def __mod__(self, o):
         return self._two(o, _modulo)
@@ -351,13 +351,9 @@ class Expr:
         return self._agg(F.max)
 
     def var(self, ddof: int = 1) -> Expr:
-        def f(c: Column) -> Column:
-            if ddof in (0, 1):
-                return F.var_samp(c) if ddof else F.var_pop(c)
-            n = F.count(c)
-            return F.when(n > ddof, F.var_pop(c) * n / F.nullif(n - ddof, F.lit(0)))
-
-        return self._agg(f)
+        if ddof in (0, 1):
+            return self._agg(F.var_samp if ddof else F.var_pop)
+        return self._agg(F.count)._two(self._agg(F.var_pop), lambda n, v: F.when(n > ddof, v * n / F.nullif(n - ddof, F.lit(0))))
 
     def std(self, ddof: int = 1) -> Expr:
         return self.var(ddof)._map(F.sqrt)
@@ -379,7 +375,7 @@ class Expr:
 
     def n_unique(self) -> Expr:
         """Distinct values; null is one of them."""
-        return self._agg(lambda c: F.size(F.collect_set(F.struct(c))))
+        return self._agg(lambda c: F.collect_set(F.struct(c)))._map(F.size)
 
     def unique(self) -> Expr:
         return self._agg(F.collect_set)
@@ -391,15 +387,16 @@ class Expr:
         return Expr(lambda s: s.aggregate(F.max_by(s.index, self.build(s))), self.name)
 
     def quantile(self, q: float, interpolation: str = "nearest") -> Expr:
-        def f(c: Column) -> Column:
-            if interpolation == "linear":
-                return F.percentile(c, F.lit(q))
-            v = F.sort_array(F.collect_list(c))
+        if interpolation == "linear":
+            return self._agg(lambda c: F.percentile(c, F.lit(q)))
+
+        def pick(values: Column) -> Column:
+            v = F.sort_array(values)
             at = (F.size(v) - 1) * F.lit(float(q))
             low, high = F.get(v, F.floor(at).cast("int")), F.get(v, F.ceil(at).cast("int"))
             return {"lower": low, "higher": high, "midpoint": (low + high) / 2, "nearest": F.get(v, F.round(at).cast("int"))}[interpolation]
 
-        return self._agg(f)
+        return self._agg(F.collect_list)._map(pick)
 
     def product(self) -> Expr:
         return self._agg(F.product)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quadrat import queries
+from quadrat import queries, queries_more  # noqa: F401
 
 
 def rows_of(df):
@@ -25,6 +25,6 @@ def test_query_runs(spark, sf_dir, name):
 def test_entry_works_without_the_operators(spark, sf_dir, monkeypatch):
     import __spark_entry__ as entry
 
-    monkeypatch.setattr(entry, "find_spec", lambda name: None)
+    monkeypatch.setattr(entry, "_found", lambda name: None)
     assert set(entry.queries()) == set(queries.QUERIES)
     assert set(entry.oracle_sql()) == set(queries.SQL)
