@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.design import Design
-from quadrat.functions.expr import all_horizontal, any_horizontal, col, min_horizontal, struct
+from quadrat.functions.expr import all_horizontal, any_horizontal, col, lit, min_horizontal, struct, when
 from quadrat.functions.terms import Cat
 from quadrat.queries import _LONE, _lone, linear_sql, lines, query, read, rounded
 from quadrat.sample import Sample
@@ -50,16 +50,15 @@ SELECT c_custkey, x IS NULL AS gone, x IS NOT NULL AS there, isnan(x) AS nan, NO
 FROM (SELECT *, CASE WHEN c_nationkey = 3 THEN 'nan'::DOUBLE WHEN c_nationkey = 4 THEN NULL WHEN c_nationkey = 5 THEN 'inf'::DOUBLE ELSE c_acctbal END AS x FROM customer)""",
 )
 def expr_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_nationkey")
-    df = read(spark, sf_dir, "customer").withColumn("x", F.expr("CASE c_nationkey WHEN 3 THEN double('NaN') WHEN 4 THEN NULL WHEN 5 THEN double('Infinity') ELSE c_acctbal END"))
     x, n = col("x"), col("c_nationkey")
+    value = when(n == 3).then(lit(float("nan"))).when(n == 4).then(lit(None)).when(n == 5).then(lit(float("inf"))).otherwise(col("c_acctbal"))
     out = made(
-        df.withColumn("w", F.struct((k + 1).alias("field"))), ["c_custkey", "w"], gone=x.is_null(), there=x.is_not_null(), nan=x.is_nan(), number=x.is_not_nan(), finite=x.is_finite(), infinite=x.is_infinite(),
+        read(spark, sf_dir, "customer"), ["c_custkey"], x=value, gone=x.is_null(), there=x.is_not_null(), nan=x.is_nan(), number=x.is_not_nan(), finite=x.is_finite(), infinite=x.is_infinite(),
         filled=x.fill_null(-1.0), unnanned=x.fill_nan(0.5), member=n.is_in([1, 2, 3]), other=n.is_not_in([1, 2, 3]), inside=n.between(5, 9), half=n.between(5, 9, closed="right"),
         text=n.to_str(), truth=n.to_bool(), n=col("c_acctbal").to_int(), f=n.to_float(), either=any_horizontal(x.is_null(), n > 10), both=all_horizontal(n > 10, col("c_acctbal") > 0), lesser=min_horizontal("c_acctbal", n.to_float()),
         s=struct(field=n + 1),
     )
-    return out.withColumn("field", F.col("s.field")).drop("s", "w")
+    return out.withColumn("field", F.col("s.field")).drop("s", "x")
 
 
 @query(
@@ -123,7 +122,7 @@ def expr_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 SELECT event_id, round(sum(v) OVER w, 6) AS s, round(avg(v) OVER w, 6) AS m, round(median(v) OVER w, 6) AS med, min(v) OVER w AS low, max(v) OVER w AS high, round(stddev_samp(v) OVER w, 6) AS sd, round(var_samp(v) OVER w, 3) AS var,
        round(var_pop(v) OVER w, 3) AS var0, count(v) OVER w AS n, count(*) OVER w AS rows, count(*) OVER w - count(v) OVER w AS nulls, first_value(v) OVER o AS first, last_value(v) OVER o AS last,
-       k.kinds, k.mode, round(quantile_cont(v, 0.3) OVER w, 6) AS q, quantile_disc(v, 0.0) OVER w AS q0, round(CASE WHEN count(v) OVER w > 2 THEN var_pop(v) OVER w * count(v) OVER w / (count(v) OVER w - 2) END, 3) AS var2, round(exp(sum(ln(1 + event_id % 3)) OVER w), 0) AS p
+       k.kinds, k.mode, round(quantile_cont(v, 0.3) OVER w, 6) AS q, quantile_disc(v, 0.0) OVER w AS q0, round(CASE WHEN count(v) OVER w > 2 THEN stddev_pop(v) OVER w * sqrt(count(v) OVER w / (count(v) OVER w - 2)) END, 3) AS sd2, round(exp(sum(ln(1 + event_id % 3)) OVER w), 0) AS p
 FROM (SELECT *, CASE WHEN event_id % 7 > 0 THEN value END AS v FROM events WHERE event_id % 50 < 5) AS e
 JOIN (SELECT user_id, count(DISTINCT event_type) AS kinds, min(event_type) FILTER (c = top) AS mode FROM (SELECT *, max(c) OVER (PARTITION BY user_id) AS top FROM (SELECT user_id, event_type, count(*) AS c FROM events WHERE event_id % 50 < 5 GROUP BY ALL)) GROUP BY 1) AS k USING (user_id)
 WINDOW w AS (PARTITION BY user_id), o AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
@@ -135,7 +134,7 @@ def expr_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = lambda e: e.over("user_id")
     return made(
         df, ["event_id"], s=by(v.sum()).round(6), m=by(v.mean()).round(6), med=by(v.median()).round(6), low=by(v.min()), high=by(v.max()), sd=by(v.std()).round(6), var=by(v.var()).round(3), var0=by(v.var(0)).round(3),
-        n=by(v.count()), rows=by(v.len()), nulls=by(v.null_count()), first=by(v.first()), last=by(v.last()), kinds=by(t.n_unique()).to_int(), mode=by(t.mode()), q=by(v.quantile(0.3, "linear")).round(6), q0=by(v.quantile(0.0)), var2=by(v.var(2)).round(3), p=by(col("z").product()).round(0),
+        n=by(v.count()), rows=by(v.len()), nulls=by(v.null_count()), first=by(v.first()), last=by(v.last()), kinds=by(t.n_unique()).to_int(), mode=by(t.mode()), q=by(v.quantile(0.3, "linear")).round(6), q0=by(v.quantile(0.0)), sd2=by(v.std(2)).round(3), p=by(col("z").product()).round(0),
     )
 
 
