@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quadrat.llm.common import by_bytes, tidy
 
-#: Ids that the rolling hash covers, bounds and mean of a chunk's length.
+#: Ids that the rolling hash covers (a power of two), bounds and mean of a chunk's length.
 WINDOW, LEAST, MOST, MEAN = 8, 128, 4096, 512
 KEY = 16
 #: Documents in a part, about.
@@ -56,11 +56,13 @@ class Encoder:
     letters are split off as well.  Whatever might be split otherwise goes to the
     library as a whole text: odd characters, blanks in a row, special strings, and
     all texts of other vocabularies.
+
+    Pieces met before and their ids are two Arrow arrays of at most ``most_words``
+    and one batch's pieces; beyond that those stay that the last batch used.
     """
 
-    def __init__(self, data: str, most_words: int = 150_000):
+    def __init__(self, data: str, most_words: int = 500_000):
         import json
-        import re
 
         from tokenizers import Tokenizer
 
@@ -71,10 +73,9 @@ class Encoder:
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         self.by_word = norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.unsafe = re.compile(_UNSAFE).search
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.most_words = most_words
+        self.known = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_binary())
         self.marks: dict[str, bytes] = {}
         self.swap = _byte_letters()
         self.feed = self.whole(["\n"])[0]
@@ -83,15 +84,14 @@ class Encoder:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def odd(self, text: str) -> bool:
-        """Whether a text must be given to the library whole."""
-        if text.isascii():
-            blanks = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-            if blanks or not text.replace("\n", "").isprintable():
-                return True
-        elif self.unsafe(text):
-            return True
-        return any(s in text for s in self.special)
+    def odd(self, texts: pa.Array) -> np.ndarray:
+        """Which texts must be given to the library whole."""
+        import pyarrow.compute as pc
+
+        out = pc.match_substring_regex(texts, _UNSAFE)
+        for s in self.special:
+            out = pc.or_(out, pc.match_substring(texts, s))
+        return out.to_numpy(zero_copy_only=False)
 
     def spell(self, words: list[str]) -> Iterator[bytes]:
         """Ids of words given in the vocabulary's byte letters: each is one word to the merges."""
@@ -104,38 +104,49 @@ class Encoder:
         swap = self.swap
         return [w if w.isascii() else w.encode().decode("latin-1").translate(swap) for w in words]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Fill ``words`` for pieces given without the space in front; NUL starts a text."""
-        if len(self.words) > self.most_words:
-            self.words, self.older = {}, self.words
-        words, older = self.words, self.older
-        new = set(pieces).difference(words)
-        back = older.keys() & new
-        words.update(zip(back, map(older.__getitem__, back)))
-        new -= back
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of pieces given without the space in front (NUL starts a text), and of their stems."""
+        import pyarrow.compute as pc
+
         plain = list(filter(str.isalpha, new))
-        new.difference_update(plain)
+        found = dict(zip(plain, self.spell(["\u0120" + w for w in self.letters(plain)])))
+        rest = [p for p in new if p not in found]
         # marks after letters, or a line feed before them, are split off
-        ends = [(p, b) for p in new if (b := p.rstrip(_ENDS)) != p and b.isalpha()]
-        runs = {p[len(b) :] for p, b in ends}.difference(self.marks)
+        ends = [(p, b, p[len(b) :]) for p in rest if (b := p.rstrip(_ENDS)) != p and b.isalpha()]
+        runs = {m for _, _, m in ends}.difference(self.marks)
         if runs:
             if len(self.marks) > 20_000:
-                self.marks, runs = {}, {p[len(b) :] for p, b in ends}
+                self.marks, runs = {}, {m for _, _, m in ends}
             self.marks.update(zip(runs, self.whole(list(runs))))
-        bases = {b for _, b in ends}.difference(words, plain)
-        fresh = [*plain, *bases.difference(older)]
-        words.update(zip(bases, map(older.get, bases)))
-        words.update(zip(fresh, self.spell(["\u0120" + w for w in self.letters(fresh)])))
-        words.update([(p, words[b] + self.marks[p[len(b) :]]) for p, b in ends])
-        new.difference_update([p for p, _ in ends])
-        feeds = [p for p in new if p[:1] == "\n" and p[1:].isalpha()]
-        words.update(zip(feeds, map(self.feed.__add__, self.spell(self.letters([p[1:] for p in feeds])))))
-        new.difference_update(feeds)
-        odd = list(new)
+        stems = list({b for _, b, _ in ends}.difference(found))
+        at = pc.index_in(pa.array(stems, pa.large_string()), value_set=self.known)
+        met = dict(zip(stems, self.ids.take(at).to_pylist()))
+        fresh = [b for b, ids in met.items() if ids is None]
+        found.update(zip(fresh, self.spell(["\u0120" + w for w in self.letters(fresh)])))
+        found.update([(p, (found.get(b) or met[b]) + self.marks[m]) for p, b, m in ends])
+        feeds = [p for p in rest if p[:1] == "\n" and p[1:].isalpha()]
+        found.update(zip(feeds, map(self.feed.__add__, self.spell(self.letters([p[1:] for p in feeds])))))
+        odd = [p for p in rest if p not in found]
         for k in range(0, len(odd), 20_000):
             some = odd[k : k + 20_000]
             bare = [p if p[:1] == "\n" else p[1:] if p[:1] == "\0" else " " + p for p in some]
-            words.update(zip(some, self.whole(bare)))
+            found.update(zip(some, self.whole(bare)))
+        return found
+
+    def _places(self, pieces: pa.Array) -> pa.Array:
+        """Where each of some distinct pieces stands in ``known``; new ones are learnt."""
+        import pyarrow.compute as pc
+
+        at = pc.index_in(pieces, value_set=self.known)
+        if not at.null_count:
+            return at
+        found = self._learn(pieces.filter(at.is_null()).to_numpy(zero_copy_only=False).tolist())
+        if len(self.known) + len(found) > self.most_words:
+            used = at.drop_null()
+            self.known, self.ids = self.known.take(used), self.ids.take(used)
+        self.known = pa.concat_arrays([self.known, pa.array(found.keys(), pa.large_string())])
+        self.ids = pa.concat_arrays([self.ids, pa.array(found.values(), pa.large_binary())])
+        return pc.index_in(pieces, value_set=self.known)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32.
@@ -147,31 +158,24 @@ class Encoder:
 
         if not self.by_word:
             return self.whole(texts)
+        given = pa.array(texts, pa.large_string())
+        odd = self.odd(given)
         out: list = [None] * len(texts)
-        rest = [k for k, t in enumerate(texts) if self.odd(t)]
+        rest = np.flatnonzero(odd).tolist()
         for k, ids in zip(rest, self.whole([texts[k] for k in rest])):
             out[k] = ids
-        plain = [k for k in range(len(texts)) if out[k] is None]
-        if not plain:
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
             return out
-        marked = pa.array(["\0" + texts[k].replace("\n", " \n") for k in plain], pa.large_string())
+        marked = pa.array(["\0" + texts[k].replace("\n", " \n") for k in plain.tolist()], pa.large_string())
         cut = pc.split_pattern(marked, " ")
         numbered = cut.flatten().dictionary_encode()
-        pieces = numbered.dictionary.to_pylist()
-        self._learn(pieces)
-        ids = [self.words[p] for p in pieces]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        start = np.cumsum(size) - size
-        which = numbered.indices.to_numpy()
-        length = size[which]
-        ends = np.cumsum(length)
-        place = np.repeat((start[which] - (ends - length)).astype(np.int32), length)
-        place += np.arange(len(place), dtype=np.int32)
-        stream = flat[place]
-        bounds = np.concatenate([[0], ends])[cut.offsets.to_numpy()]
-        for k, a, z in zip(plain, bounds.tolist(), bounds[1:].tolist()):
-            out[k] = stream[a:z].tobytes()
+        places = self._places(numbered.dictionary).take(numbered.indices)
+        ids = self.ids.take(places)
+        _, bounds, stream = ids.buffers()
+        first = np.frombuffer(bounds, np.int64)[ids.offset :][cut.offsets.to_numpy()].tolist()
+        for k, a, z in zip(plain.tolist(), first, first[1:]):
+            out[k] = stream[a:z].to_pybytes()
         return out
 
 
@@ -204,10 +208,11 @@ def cut_points(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    g = _mixed(ids)
-    rolled = g.copy()
-    for k in range(1, WINDOW):
-        rolled[k:] += g[:-k] << np.uint32(k)
+    # the sum over the last WINDOW ids, each shifted by its distance, in doubling steps
+    rolled, k = _mixed(ids), 1
+    while k < WINDOW:
+        rolled[k:] += rolled[:-k] << np.uint32(k)
+        k *= 2
     marks = np.flatnonzero((rolled >> np.uint32(8)) % np.uint32(MEAN - LEAST) == 0) + 1
     ends, at = [], 0
     for m in marks.tolist():
@@ -344,7 +349,6 @@ class TokenStore:
                     cols = list(zip(*rows)) if rows else [[]] * 5
                     types = (pa.string(), pa.binary(), b.schema.field(0).type, pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["kind", "key", "i", "n", "payload"])
-            encoder.older = {}
 
         kind = docs.schema[id_col].dataType.simpleString()
         self.spark.createDataFrame([(kind,)], "id_type string").coalesce(1).write.parquet(f"{self.path}/about")
