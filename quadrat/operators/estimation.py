@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.design import names
 from quadrat.errors import MethodError, MissingValueError
 from quadrat.functions import dist
+from quadrat.plans.prefix import running
 from quadrat.plans.units import Frame, equal, grouped, unit_sums, variances
 from quadrat.plans.where import missing, predicate
 
@@ -452,24 +453,10 @@ class Estimation:
         return Estimate("quantile", method, found, prep.frame.by, alpha, "woodruff" if method == "taylor" else "t", self.sample.meta)
 
     def _cdf(self, prep: Prepared, y: str, weight: Column, q_method: str) -> DataFrame:
-        """(by, v, cdf, total): values in order with cumulative shares of the weight.
-
-        The rows are range-partitioned by value; a partition's offset is the weight
-        of those before it, so no sort runs in one task.
-        """
+        """(by, v, cdf, total): values in order with cumulative shares of the weight."""
         by = prep.frame.by
         rows = prep.frame.data.where(self._valid([y])).select(*by, F.col(y).cast("double").alias("v"), weight.alias("w")).where("w > 0")
-        if q_method == "higher":  # ties do not matter
-            rows = rows.groupBy(*by, "v").agg(F.sum("w").alias("w"))
-        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = rows.repartitionByRange(n, *by, "v", "w").withColumn("part", F.spark_partition_id()).persist()
-        parts = ranged.groupBy(*by, "part").agg(F.sum("w").alias("pw"))
-        before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = parts.select(*by, "part", F.coalesce(F.sum("pw").over(before), F.lit(0.0)).alias("offset"))
-        totals = grouped(parts, by, [F.sum("pw").alias("total")])
-        inside = F.sum("w").over(Window.partitionBy(*by, "part").orderBy("v", "w").rowsBetween(Window.unboundedPreceding, 0))
-        out = equal(equal(ranged, offsets, [*by, "part"]), totals, by)
-        return out.select(*by, "v", ((F.col("offset") + inside) / F.col("total")).alias("cdf"), "total")
+        return _cumulated(rows, by, q_method)
 
     @staticmethod
     def _invert(p: Column | float, q_method: str) -> tuple[Column, Column]:
@@ -544,11 +531,10 @@ class Estimation:
 
     def _quantile_rep(self, prep: Prepared, y: str, ps: list[float], q_method: str, fay: float, center: str) -> DataFrame:
         by, rw = prep.frame.by, self.sample.design.rep_wgts
-        thetas = None
-        for r in range(0, rw.n_reps + 1):
-            w = F.col("__w") if r == 0 else self._rep_weight(r)
-            part = self._points(self._cdf(prep, y, w, q_method), by, {f"q{j}": p for j, p in enumerate(ps)}, q_method).withColumn("r", F.lit(r))
-            thetas = part if thetas is None else thetas.unionByName(part)
+        # the main weight is replicate 0: one sort of all replicates' rows, by (domain, replicate, value)
+        weights = F.array(F.col("__w"), *[self._rep_weight(r) for r in range(1, rw.n_reps + 1)])
+        rows = prep.frame.data.where(self._valid([y])).select(*by, F.col(y).cast("double").alias("v"), F.posexplode(weights).alias("r", "w")).where("w > 0")
+        thetas = self._points(_cumulated(rows, [*by, "r"], q_method), [*by, "r"], {f"q{j}": p for j, p in enumerate(ps)}, q_method)
         n = grouped(prep.frame.data, by, [F.count_if(self._valid([y]) & (F.col("__w") > 0)).alias("n")])
         items = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"q{j}").alias("q")) for j, p in enumerate(ps)])
         long = thetas.select(*by, "r", F.explode(items).alias("x")).select(*by, "r", "x.*")
@@ -558,6 +544,14 @@ class Estimation:
         return got.select(*by, F.lit(y).alias("y"), "p", "est", F.sqrt("var").alias("se"), "var", F.lit(rw.degrees()).cast("long").alias("df"), "n")
 
 
+def _cumulated(rows: DataFrame, by: list[str], q_method: str) -> DataFrame:
+    """(by, v, cdf, total) of rows (by, v, w)."""
+    if q_method == "higher":  # ties do not matter
+        rows = rows.groupBy(*by, "v").agg(F.sum("w").alias("w"))
+    out = running(rows, by, [F.col("v"), F.col("w")], F.col("w"), "upto", total="total")
+    return out.select(*by, "v", (F.col("upto") / F.col("total")).alias("cdf"), "total")
+
+
 def _any(cs: list[Column]) -> Column:
     out = cs[0]
     for c in cs[1:]:

@@ -146,12 +146,7 @@ class GLM:
                 meat[int(a[1:]), int(b[1:])] = meat[int(b[1:]), int(a[1:])] = got[f"cov_{a}_{b}"]
             cov, degf = bread @ meat @ bread, got["df_i0"]
         else:
-            thetas = []
-            for r in range(reps.n_reps):
-                c = F.col(reps.array)[r] if reps.array else F.col(reps.columns[r])
-                one = data.withColumn("__r", F.when(F.col("__w") > 0, F.coalesce(c.cast("double"), F.lit(0.0))).otherwise(0.0))
-                thetas.append(self._irls(one, k, family, link_name, tol, max_iter, "__r", beta)[0])
-            T = np.array(thetas)
+            T = self._replicates(data, reps, k, family, link_name, tol, max_iter, beta)
             gap = T - T.mean(axis=0)
             cov, degf = (gap * np.array(reps.coefficients())[:, None]).T @ gap, reps.degrees()
         df = max(1, degf - (k - 1)) if intercept else max(1, degf - k + 1)
@@ -168,6 +163,58 @@ class GLM:
         mu = mean_of(eta, link_name)
         return mu, eta, slope(mu, eta, link_name)
 
+    @staticmethod
+    def _step(rows: DataFrame, weight: str, mu: Column, eta: Column, d: Column, family: str, k: int, by: list[str]) -> DataFrame:
+        """Deviance, ``X'WX`` and ``X'Wz`` of one weighted least squares step, a row per ``by``."""
+        wi = F.col(weight) * d * d / spread(mu, family)
+        z = eta + (F.col("__y") - mu) / d
+        now = rows.withColumns({"__wi": wi, "__z": z, "__dv": F.col(weight) * unit_deviance(F.col("__y"), mu, family)})
+        aggs = [F.sum("__dv").alias("dev")]
+        aggs += [F.sum(F.col("__wi") * F.col(f"__x{i}") * F.col("__z")).alias(f"b{i}") for i in range(k)]
+        aggs += [F.sum(F.col("__wi") * F.col(f"__x{a}") * F.col(f"__x{b}")).alias(f"g{a}_{b}") for a in range(k) for b in range(a, k)]
+        return now.groupBy(*by).agg(*aggs)
+
+    @staticmethod
+    def _solved(r, k: int) -> tuple[np.ndarray, np.ndarray]:
+        G = np.zeros((k, k))
+        for a in range(k):
+            for b in range(a, k):
+                G[a, b] = G[b, a] = r[f"g{a}_{b}"]
+        if np.linalg.matrix_rank(G) < k:
+            raise ModelError("the terms are collinear", where="fit", param="x")
+        if not math.isfinite(r["dev"]):
+            raise ModelError("the fit diverged", where="fit")
+        return np.linalg.solve(G, np.array([r[f"b{i}"] for i in range(k)])), G
+
+    def _replicates(self, data: DataFrame, reps, k: int, family: str, link_name: str, tol: float, max_iter: int, beta: np.ndarray) -> np.ndarray:
+        """Coefficients under each replicate's weights, all from ``beta``.
+
+        A step of all replicates is one aggregation; those that have settled leave
+        the next.  The driver holds a row of sums per replicate.
+        """
+        weights = F.col(reps.array) if reps.array else F.array(*[F.col(c).cast("double") for c in reps.columns])
+        rows = data.where("__w > 0").select("__y", *[f"__x{i}" for i in range(k)], F.posexplode(weights).alias("__k", "__r"))
+        rows = rows.withColumn("__r", F.col("__r").cast("double")).where("__r > 0")
+        found, devs, live = np.tile(np.asarray(beta, float), (reps.n_reps, 1)), {}, list(range(reps.n_reps))
+        for _ in range(max_iter):
+            table = data.sparkSession.createDataFrame([(r, *found[r].tolist()) for r in live], ", ".join(["__k int", *[f"__c{i} double" for i in range(k)]]))
+            eta = sum((F.col(f"__c{i}") * F.col(f"__x{i}") for i in range(k)), F.lit(0.0))
+            mu = mean_of(eta, link_name)
+            got = {r["__k"]: r for r in self._step(rows.join(F.broadcast(table), "__k"), "__r", mu, eta, slope(mu, eta, link_name), family, k, ["__k"]).collect()}
+            left = []
+            for r in live:
+                if r not in got:
+                    raise ModelError(f"replicate {r + 1} has no rows", where="fit")
+                new, dev = self._solved(got[r], k)[0], got[r]["dev"]
+                settled = r in devs and (abs(dev - devs[r]) / (abs(dev) + 0.1) < tol or np.abs(new - found[r]).max() < tol)
+                found[r], devs[r] = new, dev
+                if not settled and not (family == "gaussian" and link_name == "identity"):
+                    left.append(r)
+            live = left
+            if not live:
+                break
+        return found
+
     def _irls(self, data: DataFrame, k: int, family: str, link_name: str, tol: float, max_iter: int, weight: str, beta=None):
         dev, bread = None, None
         rows = data.where(F.col(weight) > 0)
@@ -178,23 +225,8 @@ class GLM:
                 d = slope(mu, eta, link_name)
             else:
                 mu, eta, d = self._parts(beta, k, link_name)
-            v = spread(mu, family)
-            wi = F.col(weight) * d * d / v
-            z = eta + (F.col("__y") - mu) / d
-            now = rows.withColumns({"__wi": wi, "__z": z, "__dv": F.col(weight) * unit_deviance(F.col("__y"), mu, family)})
-            aggs = [F.sum("__dv").alias("dev")]
-            aggs += [F.sum(F.col("__wi") * F.col(f"__x{i}") * F.col("__z")).alias(f"b{i}") for i in range(k)]
-            aggs += [F.sum(F.col("__wi") * F.col(f"__x{a}") * F.col(f"__x{b}")).alias(f"g{a}_{b}") for a in range(k) for b in range(a, k)]
-            r = now.agg(*aggs).first()
-            G = np.zeros((k, k))
-            for a in range(k):
-                for b in range(a, k):
-                    G[a, b] = G[b, a] = r[f"g{a}_{b}"]
-            if np.linalg.matrix_rank(G) < k:
-                raise ModelError("the terms are collinear", where="fit", param="x")
-            if not math.isfinite(r["dev"]):
-                raise ModelError("the fit diverged", where="fit")
-            new = np.linalg.solve(G, np.array([r[f"b{i}"] for i in range(k)]))
+            r = self._step(rows, weight, mu, eta, d, family, k, []).first()
+            new, G = self._solved(r, k)
             bread = np.linalg.inv(G)
             settled = beta is not None and dev is not None and (abs(r["dev"] - dev) / (abs(r["dev"]) + 0.1) < tol or np.abs(new - beta).max() < tol)
             old, beta, dev = beta, new, r["dev"]

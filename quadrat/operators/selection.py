@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.design import names
 from quadrat.errors import DimensionError, MethodError
+from quadrat.plans.prefix import running
 from quadrat.plans.units import equal
 from quadrat.plans.where import predicate
 
@@ -125,13 +126,12 @@ class Selection:
         df = df.withColumn("__u", self._identity(df, seed, "srs"))
         sizes = df.groupBy(*keys).agg(F.count_if("__in").alias("__pop"))
         df = equal(df, sizes, keys)
-        group = Window.partitionBy(*keys, "__in")
+        df = running(df, [*keys, "__in"], [F.col("__u"), *[F.col(f"`{c}`") for c in self.sample.data.columns[:1]]], F.lit(1), "__k")
         N, m = F.col("__pop"), F.col("__n")
         if not wr:
-            df = df.withColumn("__k", F.row_number().over(group.orderBy("__u", *self.sample.data.columns[:1])))
             return self._finish(df, where, prob_name, wgt_name, hit_name, F.least(m, N) / N, (F.col("__k") <= m).cast("int"))
         # each of n draws picks a place; a row's hits are the draws on its place
-        df = df.withColumn("__k", F.row_number().over(group.orderBy("__u", *self.sample.data.columns[:1])) - 1)
+        df = df.withColumn("__k", F.col("__k") - 1)
         draws = equal(sizes, df.groupBy(*keys).agg(F.max("__n").alias("__n")), keys).where("__n > 0 and __pop > 0")
         places = draws.select(*keys, "__pop", F.explode(F.sequence(F.lit(1), "__n")).alias("__d"))
         place = F.pmod(F.xxhash64(F.lit(seed), F.lit("wr"), "__d", *keys), F.col("__pop"))
@@ -174,21 +174,36 @@ class Selection:
         seed = int(rstate or 0)
         df, keys = self._sized(n, by, where, certainty_threshold, drop_nulls, seed)
         free = F.col("__in") & ~F.col("__c")
-        w = Window.partitionBy(*keys).orderBy(*self._order(order_by, order_type, seed)).rowsBetween(Window.unboundedPreceding, 0)
         size = F.when(free, F.col("__x")).otherwise(0.0)
         step = F.try_divide(F.col("__total"), F.col("__left"))
         start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), *keys), F.lit(1 << 30)) / float(1 << 30)
-        upto = F.sum(size).over(w)
+        df = running(df, keys, self._order(order_by, order_type, seed), size, "__upto", before="__from")
         at = lambda c: F.greatest(F.ceil(c / step - start), F.lit(0))  # noqa: E731  grid points below c
-        grid = F.when(free & (F.col("__left") > 0), at(upto) - at(upto - size)).otherwise(0)
+        grid = F.when(free & (F.col("__left") > 0), at(F.col("__upto")) - at(F.col("__from"))).otherwise(0)
         hits = F.when(F.col("__c"), 1).otherwise(grid)
         prob = F.when(F.col("__c"), 1.0).otherwise(F.least(F.col("__left") * F.col("__x") / F.col("__total"), F.lit(1.0)))
         df = df.withColumns({"__h": hits, "__p": prob})
         return self._finish(df, where, prob_name, wgt_name, hit_name, F.col("__p"), F.col("__h"))
 
     def pps_wr(self, n, *, certainty_threshold=1.0, by=None, where=None, prob_name=None, wgt_name=None, hit_name=None, rstate=None, drop_nulls=False):
-        """With replacement: every draw falls on the cumulated sizes anew."""
-        return self._drawn("wr", n, certainty_threshold, by, where, prob_name, wgt_name, hit_name, rstate, drop_nulls)
+        """With replacement: every draw falls on the cumulated sizes anew.
+
+        A group's total is cut into as many bins as it has draws.  Draws meet the rows
+        that reach into their bin, so few rows are looked at whatever the sizes are.
+        """
+        seed = int(rstate or 0)
+        df, keys = self._sized(n, by, where, certainty_threshold, drop_nulls, seed, wr=True)
+        free = F.col("__in") & (F.col("__left") > 0)
+        df = running(df, keys, [F.col("__u")], F.when(free, F.col("__x")).otherwise(0.0), "__upto", before="__from", row="__row")
+        groups = df.where(free).groupBy(*keys).agg(F.max("__left").alias("__m"), F.max("__upto").alias("__top"))
+        slot = lambda c: F.least(F.floor(F.col(c) / F.col("__top") * F.col("__m")), F.col("__m") - 1)
+        at = F.pmod(F.xxhash64(F.lit(seed), F.lit("wr"), "__d", *keys), F.lit(1 << 52)) / float(1 << 52) * F.col("__top")
+        draws = groups.withColumn("__d", F.explode(F.sequence(F.lit(1).cast("long"), "__m"))).withColumn("__at", at).select(*keys, "__at", slot("__at").alias("__b"))
+        rows = equal(df.where(free), groups, keys).select(*keys, "__row", "__from", "__upto", F.explode(F.sequence(slot("__from"), slot("__upto"))).alias("__b"))
+        hits = equal(rows, draws, [*keys, "__b"]).where("__from <= __at and __at < __upto").groupBy("__row").agg(F.count("*").alias("__h"))
+        df = df.join(hits, "__row", "left")
+        prob = 1 - F.pow(1 - F.col("__x") / F.col("__total"), F.col("__left"))
+        return self._finish(df, where, prob_name, wgt_name, hit_name, prob, F.when(free, F.coalesce("__h", F.lit(0))).otherwise(0))
 
     def pps_brewer(self, n, *, certainty_threshold=1.0, by=None, where=None, prob_name=None, wgt_name=None, hit_name=None, rstate=None, drop_nulls=False):
         return self._drawn("brewer", n, certainty_threshold, by, where, prob_name, wgt_name, hit_name, rstate, drop_nulls)
@@ -206,7 +221,7 @@ class Selection:
     def _drawn(self, how, n, threshold, by, where, prob_name, wgt_name, hit_name, rstate, drop_nulls):
         """Sequential draws inside a group; only sizes and row keys go to Python."""
         seed = int(rstate or 0)
-        df, keys = self._sized(n, by, where, threshold, drop_nulls, seed, wr=how == "wr")
+        df, keys = self._sized(n, by, where, threshold, drop_nulls, seed)
         free = df.where(F.col("__in") & ~F.col("__c") & (F.col("__left") > 0)).select(*keys, "__u", "__x", "__left")
         tag = F.xxhash64(F.lit(seed), F.lit(how), *keys) if keys else F.lit(seed)
 
@@ -246,11 +261,6 @@ class Selection:
         return next_stage._with(both, e.update(stratum=d.stratum, psu=d.psu, ssu=e.ssu or (e.psu if e.psu != d.psu else None), prob=prob_name, wgt=wgt_name, pop_size=e.pop_size or d.pop_size))
 
 
-def draw_wr(x: np.ndarray, n: int, rng) -> tuple[np.ndarray, np.ndarray]:
-    p = x / x.sum()
-    return np.bincount(rng.choice(len(x), n, p=p), minlength=len(x)), 1 - (1 - p) ** n
-
-
 def draw_brewer(x: np.ndarray, n: int, rng) -> tuple[np.ndarray, np.ndarray]:
     """One unit after another, with Brewer's working probabilities."""
     N = len(x)
@@ -300,4 +310,4 @@ def draw_rs(x: np.ndarray, n: int, rng, most: int = 100_000) -> tuple[np.ndarray
     raise MethodError("no sample was accepted", where="pps_rs", hint="sizes are too unequal for n; use pps_sys or pps_brewer")
 
 
-DRAWS = {"wr": draw_wr, "brewer": draw_brewer, "murphy": draw_murphy, "rs": draw_rs}
+DRAWS = {"brewer": draw_brewer, "murphy": draw_murphy, "rs": draw_rs}

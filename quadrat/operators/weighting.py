@@ -24,7 +24,7 @@ _LEAST = 1e-10
 
 
 def hadamard(order: int) -> np.ndarray:
-    """A Hadamard matrix of at least ``order`` rows: doubling and Paley's first construction."""
+    """A Hadamard matrix of at least ``order`` rows: doubling and both of Paley's constructions for primes."""
     n = max(order, 1)
     while True:
         h = _hadamard(n)
@@ -44,16 +44,24 @@ def _hadamard(n: int) -> np.ndarray | None:
         return None
     if (half := _hadamard(n // 2)) is not None:
         return np.block([[half, half], [half, -half]])
-    q = n - 1
-    if not _prime(q):
-        return None
-    squares = {k * k % q for k in range(1, q)}
-    chi = lambda k: 0 if k % q == 0 else 1 if k % q in squares else -1
-    s = np.array([[chi(j - i) for j in range(q)] for i in range(q)])
-    h = np.ones((n, n), int)
-    h[1:, 0] = -1
-    h[1:, 1:] = s + np.eye(q, dtype=int)
-    return h * h[0] if (h[0] < 0).any() else h
+    if _prime(n - 1):
+        h = np.ones((n, n), int)
+        h[1:, 0] = -1
+        h[1:, 1:] = _residues(n - 1) + np.eye(n - 1, dtype=int)
+        return h
+    q = n // 2 - 1
+    if q % 4 == 1 and _prime(q):
+        c = np.ones((q + 1, q + 1), int)
+        c[0, 0], c[1:, 1:] = 0, _residues(q)
+        h = np.kron(c, [[1, 1], [1, -1]]) + np.kron(np.eye(q + 1, dtype=int), [[1, -1], [-1, -1]])
+        return h * h[0]
+    return None
+
+
+def _residues(q: int) -> np.ndarray:
+    """Of i and j: 1 if j - i is a square modulo the prime ``q``, -1 if not, 0 on the diagonal."""
+    gap = (np.arange(q) - np.arange(q)[:, None]) % q
+    return np.where(gap == 0, 0, np.where(np.isin(gap, np.arange(1, q) ** 2 % q), 1, -1))
 
 
 class Weighting:
@@ -519,10 +527,13 @@ class Weighting:
             if self.sample.data.where(w < 1).limit(1).count():
                 raise MethodError("the Poisson bootstrap needs weights of at least 1", where="create_bs_wgts")
             prefix = rep_prefix or "rep_wgt"
-            tag = F.monotonically_increasing_id()
-            sign = lambda r: F.when(F.xxhash64(F.lit(seed), F.lit(r), tag) % 2 == 0, 1.0).otherwise(-1.0)
+            # signs hang on a row's values, and on its number among equal rows, not on partitions
+            given = [F.col(f"`{c}`") for c in self.sample.data.columns if not c.startswith("__")]
+            same = Window.partitionBy("__row").orderBy("__row")
+            df = self.sample.data.withColumn("__row", F.xxhash64(F.lit(seed), *given)).withColumn("__k", F.row_number().over(same))
+            sign = lambda r: F.when(F.xxhash64(F.lit(r), "__row", "__k") % 2 == 0, 1.0).otherwise(-1.0)
             cols = {f"{prefix}{r}": w + sign(r) * w * F.sqrt((w - 1) / w) for r in range(1, n_reps + 1)}
-            return self.sample._with(self.sample.data.withColumns(cols), d.update(rep_wgts=BootstrapWeights(prefix, n_reps)))
+            return self.sample._with(df.withColumns(cols).drop("__row", "__k"), d.update(rep_wgts=BootstrapWeights(prefix, n_reps)))
         if kind != "rao-wu":
             raise MethodError("kind must be rao-wu or poisson", param="kind")
         keys = [*d.strata, *d.psus]
@@ -545,7 +556,7 @@ class Weighting:
         return self._replicated(plan, keys, n_reps, rep_prefix, lambda p: BootstrapWeights(p, n_reps), as_array)
 
     def create_sdr_wgts(self, n_reps: int = 4, *, rep_prefix=None, order_col=None, drop_nulls=False, as_array=False):
-        """Successive differences: rows (or PSUs) in order meet neighbouring rows of a Hadamard matrix."""
+        """Successive differences: rows (or PSUs) in order, the table's if none is named, meet neighbouring rows of a Hadamard matrix."""
         d = self.sample.design
         h = hadamard(max(n_reps, 4))
         n = len(h)

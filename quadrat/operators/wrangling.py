@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.errors import ColumnError, LabelError, MethodError
@@ -42,6 +42,23 @@ def clean_name(name: str, case_style: str = "snake", letter_case: str = "lower",
     return {"lower": out.lower, "upper": out.upper, "title": out.title, "original": lambda: out}[letter_case]()
 
 
+def _carried(df: DataFrame, cols: list[str], forward: bool) -> DataFrame:
+    """Nulls of ``cols`` filled with the known value nearest before, or after, in the table's order.
+
+    Rows are filled within their partition; what a partition hands on is one row, so
+    only a row per partition is put in order by one task.
+    """
+    marked = df.withColumns({"__part": F.spark_partition_id(), INDEX: F.monotonically_increasing_id()}).persist()
+    way = F.asc if forward else F.desc
+    best = F.max_by if forward else F.min_by
+    ends = marked.groupBy("__part").agg(*[best(F.col(c), F.when(F.col(c).isNotNull(), F.col(INDEX))).alias(f"__end{j}") for j, c in enumerate(cols)])
+    before = Window.orderBy(way("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select("__part", *[F.last(f"__end{j}", ignorenulls=True).over(before).alias(f"__from{j}") for j in range(len(cols))])
+    inside = Window.partitionBy("__part").orderBy(way(INDEX)).rowsBetween(Window.unboundedPreceding, 0)
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"__from{j}")) for j, c in enumerate(cols)}
+    return marked.join(handed, "__part").withColumns(filled).orderBy(INDEX).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 class Wrangling:
     def __init__(self, sample):
         self.sample = sample
@@ -207,11 +224,7 @@ class Wrangling:
             one = df.agg(*[f(c).alias(f"__f_{c}") for c in cols])
             out = df.crossJoin(F.broadcast(one)).withColumns({c: F.coalesce(F.col(c), F.col(f"__f_{c}")) for c in cols}).drop(*[f"__f_{c}" for c in cols])
         elif strategy in ("forward", "backward"):
-            df = df.withColumn(INDEX, F.monotonically_increasing_id())
-            w = Window.orderBy(INDEX)
-            w = w.rowsBetween(Window.unboundedPreceding, 0) if strategy == "forward" else w.rowsBetween(0, Window.unboundedFollowing)
-            f = F.last if strategy == "forward" else F.first
-            out = df.withColumns({c: f(c, ignorenulls=True).over(w) for c in cols}).drop(INDEX)
+            out = _carried(df, cols, strategy == "forward")
         else:
             raise MethodError(f"no such strategy: {strategy}", param="strategy")
         return self.sample._with(out)

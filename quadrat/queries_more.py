@@ -228,3 +228,41 @@ def allocate_proportional(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = sampling.group_sizes()
     n = sampling.allocate(sizes, method="proportional", n_total=sum(sizes.values()))
     return spark.createDataFrame(list(n.items()), "p_brand string, size bigint")
+
+
+@query("fill_forward", "SELECT o_orderkey, round(last_value(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END IGNORE NULLS) OVER (ORDER BY o_orderkey), 6) AS d FROM orders")
+def fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir, "forward")
+
+
+@query("fill_backward", "SELECT o_orderkey, round(last_value(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END IGNORE NULLS) OVER (ORDER BY o_orderkey DESC), 6) AS d FROM orders")
+def fill_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir, "backward")
+
+
+def _filled(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    some = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("d")
+    s = Sample(read(spark, sf_dir, "orders").select("o_orderkey", some)).wrangling.order_by("o_orderkey")
+    return rounded(s.wrangling.fill_null("d", strategy=how).data, ["o_orderkey"], d=6)
+
+
+@query("pps_wr_counts", "SELECT p_brand, CAST(40 AS BIGINT) AS hits, CAST(sum(p_size) AS DOUBLE) AS size FROM part GROUP BY 1")
+def pps_wr_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All draws of a brand fall on its parts; a hit part's probability gives the brand's total size back."""
+    s = Sample(read(spark, sf_dir, "part"), Design(stratum="p_brand", mos="p_size")).sampling.pps_wr(40, rstate=7)
+    total = F.col("p_size") / (1 - F.pow(1 - F.col("survey_prob_selection"), F.lit(1 / 40)))
+    return s.data.groupBy("p_brand").agg(F.sum("survey_number_of_hits").alias("hits"), F.round(F.max(total), 6).alias("size"))
+
+
+@query("jackknife_median", """
+WITH c AS (SELECT c_nationkey AS p, c_acctbal AS v, c_custkey % 5 + 1 AS w FROM customer),
+r AS (SELECT DISTINCT p AS r FROM c UNION ALL SELECT -1),
+x AS (SELECT r, v, sum(w) AS w FROM c, r WHERE p <> r GROUP BY r, v),
+d AS (SELECT r, v, sum(w) OVER (PARTITION BY r ORDER BY v) / sum(w) OVER (PARTITION BY r) AS cdf FROM x),
+t AS (SELECT r, min(v) AS q FROM d WHERE cdf >= 0.5 - 1e-12 GROUP BY r)
+SELECT round((SELECT q FROM t WHERE r = -1), 6) AS est, round(sqrt(var_pop(q) * (count(*) - 1)), 6) AS se FROM t WHERE r >= 0""")
+def jackknife_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median of every replicate, all in one sort."""
+    s = Sample(read(spark, sf_dir, "customer").withColumn("w", F.col("c_custkey") % 5 + 1), Design(psu="c_nationkey", wgt="w"))
+    s = s.weighting.create_jk_wgts(as_array=True)
+    return rounded(s.estimation.median("c_acctbal", method="replication").frame, [], est=6, se=6)

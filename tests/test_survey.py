@@ -103,8 +103,9 @@ def test_replicate_forms_agree(sample):
 def test_coefficients():
     assert BRRWeights("r", 8, fay_coef=0.5).coefficients() == [1 / (8 * 0.25)] * 8
     assert JackknifeWeights("r", 10).coefficients()[0] == pytest.approx(0.9)
-    for n in (2, 4, 12, 20, 44):
+    for n in (2, 4, 12, 20, 28, 36, 44, 56):
         h = hadamard(n)
+        assert len(h) == n and (h[0] == 1).all()
         assert (h @ h.T == len(h) * np.eye(len(h))).all()
 
 
@@ -192,6 +193,83 @@ def test_selection(sample, frame):
     assert s.allocate({"a": 2, "b": 30}, n_total=20, method="equal", n_per_group=5) == {"a": 2, "b": 5}
 
 
+def test_draws_with_replacement(spark, frame):
+    s = Sample(frame, Design(stratum="stratum", mos="x"))
+    got = s.sampling.pps_wr(30, rstate=3).data
+    assert [r["h"] for r in got.groupBy("stratum").agg(F.sum("survey_number_of_hits").alias("h")).collect()] == [30] * 4
+    assert got.where("stratum = 's1'").count() < 30 + 1
+    again = Sample(frame.repartition(5), s.design).sampling.pps_wr(30, rstate=3).data
+    key = lambda d: sorted((r["id"], r["survey_number_of_hits"], round(r["survey_prob_selection"], 9)) for r in d.collect())
+    assert key(got) == key(again)
+    rows = {r["id"]: r for r in frame.collect()}
+    total = sum(r["x"] for r in rows.values() if r["stratum"] == "s2")
+    for i, _, p in key(got):
+        if rows[i]["stratum"] == "s2":
+            assert p == pytest.approx(1 - (1 - rows[i]["x"] / total) ** 30)
+    # one unit holds nearly all of the size, equal rows are units of their own
+    odd = spark.createDataFrame([(1, 1e9), *[(2, 1.0)] * 50, (3, 5e8)], "id int, size double")
+    hits = {r["id"]: r["h"] for r in Sample(odd, Design(mos="size")).sampling.pps_wr(3000, rstate=1).data.groupBy("id").agg(F.sum("survey_number_of_hits").alias("h")).collect()}
+    assert sum(hits.values()) == 3000 and abs(hits[1] - 2000) < 130
+
+
+def test_running_sums(spark):
+    from quadrat.plans.prefix import running
+
+    rows = [(None if i % 5 == 0 else i % 3, i * 7919 % 1000, float(i % 11) / 7) for i in range(400)]
+    got = running(spark.createDataFrame(rows, "g int, o int, x double"), ["g"], [F.col("o"), F.col("x")], F.col("x"), "upto", before="before", total="total", row="row").collect()
+    assert len({r["row"] for r in got}) == 400
+    for g in {r["g"] for r in got}:
+        one = sorted((r["o"], r["x"], r["upto"], r["before"], r["total"]) for r in got if r["g"] == g)
+        assert [r[2] for r in one] == pytest.approx(np.cumsum([r[1] for r in one]).tolist())
+        assert [r[3] for r in one] == [0.0, *[r[2] for r in one][:-1]]  # to the last bit
+        assert {round(r[4], 9) for r in one} == {round(sum(r[1] for r in one), 9)}
+
+
+def test_fill_from_neighbours(spark):
+    values = [None, None, 3, None, 5, None, None, 8, None, *[None] * 20, 30, None]
+    df = spark.createDataFrame([(i, v, "k") for i, v in enumerate(values)], "id int, v int, clash string").repartitionByRange(6, "id").sortWithinPartitions("id")
+    w = Sample(df).wrangling
+    for how, order in (("forward", values), ("backward", values[::-1])):
+        want, last = [], None
+        for v in order:
+            last = v if v is not None else last
+            want.append(last)
+        out = w.fill_null("v", strategy=how).data
+        assert [r["v"] for r in out.collect()] == (want if how == "forward" else want[::-1])
+        assert out.columns == df.columns
+    assert Sample(df.limit(0)).wrangling.fill_null("v", strategy="forward").data.count() == 0
+
+
+def test_poisson_replicates_hang_on_rows(frame):
+    twice = frame.union(frame.limit(20))
+    key = lambda d: sorted(tuple(round(x, 9) for x in (r["id"], r["rep_wgt1"], r["rep_wgt2"], r["rep_wgt3"])) for r in d.collect())
+    made = [key(Sample(d, Design(wgt="w")).weighting.create_bs_wgts(3, kind="poisson", rstate=5).data) for d in (twice, twice.repartition(5))]
+    assert made[0] == made[1]
+
+
+def test_replicate_quantiles_and_models(sample):
+    s = sample.weighting.create_jk_wgts()
+    pdf, rw = s.data.toPandas(), s.design.rep_wgts
+    from quadrat.utils import weighted_quantiles
+
+    columns = list(rw.columns)
+    thetas = np.array([weighted_quantiles(pdf.y, pdf[c], [0.3])[0] for c in columns])
+    got = s.estimation.quantile("y", p=0.3, method="replication").rows()[0]
+    assert got["est"] == weighted_quantiles(pdf.y, pdf.w, [0.3])[0]
+    assert got["var"] == pytest.approx((np.array(rw.coefficients()) * (thetas - thetas.mean()) ** 2).sum())
+    by = s.estimation.quantile("y", p=0.5, by="g", method="replication", q_method="linear").rows()
+    assert len(by) == 2 and all(r["se"] > 0 for r in by)
+
+    fits = Sample(s.data, Design(wgt="w", rep_wgts=rw))  # nothing but replicates: their method
+    X = np.column_stack([np.ones(len(pdf)), pdf.x])
+    wls = lambda w: np.linalg.solve(X.T @ (X * w.to_numpy()[:, None]), X.T @ (w * pdf.y).to_numpy())
+    T = np.array([wls(pdf[c]) for c in columns])
+    want = (np.array(rw.coefficients())[:, None] * (T - T.mean(0)) ** 2).sum(0)
+    assert [c["se"] ** 2 for c in fits.glm.fit("y", x="x").coefs] == pytest.approx(want.tolist())
+    for family, y in (("binomial", "b"), ("poisson", "b")):
+        assert all(c["se"] > 0 for c in fits.glm.fit(y, x="x", family=family).coefs)
+
+
 def test_wrangling(sample, frame):
     w = sample.wrangling
     out = w.mutate({"c": col("a") + 1, "a": col("y") * 2}).data.where("abs(c - y * 2 - 1) > 1e-9")
