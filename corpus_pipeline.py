@@ -21,27 +21,46 @@ from quadrat.llm.toxicity import accepted
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine scores below one half."""
+    """Documents that the factorization machine scores below one half.
+
+    Null and empty texts score low and stay; repeated rows are judged alike; texts are
+    read whole.  An empty table gives an empty one.
+    """
     return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are similar to 0.8: that of least id."""
+    """One document of each group of texts whose five-word shingles are similar to 0.8: that of least id.
+
+    Null, empty and blank texts are one group; repeated rows leave one, and a null id
+    stays only where its group has no other.  An empty table gives an empty one.
+    """
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; an empty benchmark or table changes nothing.
+    """
     return without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by source: documents left out, taken once or taken twice."""
+    """The mix by source: documents left out, taken once or taken twice.
+
+    A null source is one of its own.  Of equal ranks the smaller id comes first.
+    Texts without words are taken as often as all of their source is.  An empty table gives an empty one.
+    """
     return mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digest of the token store, read back from its files: a row per document taken."""
+    """Digest of the token store, read back from its files: a row per document taken.
+
+    Null and empty texts are the end id alone, repeated rows are documents of their own,
+    null ids come first.  An empty table gives no rows.
+    """
     store = TokenStore(spark, new_path(spark, "corpus"))
     return store.write(docs, vocabulary("byte_bpe_50k.json")).digests()
 
