@@ -127,23 +127,33 @@ def _candidates(nodes: DataFrame, met: DataFrame, least: float) -> DataFrame:
     small = small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     # many that share a band meet the least of their size, and of the sizes beside it
     large = met.where(F.col("k") > MOST)
-    low = keep(large.groupBy("h", "step").agg(F.min("node").alias("low")), "similar-low")
-    wide = large.select("h", "node", F.explode(_steps()).alias("step")).join(low, ["h", "step"]).where("node != low").select(*_ordered("node", "low"))
+    low = keep(_around(large.groupBy("h", "step").agg(F.array(F.min("node")).alias("x"))), "similar-low")
+    wide = _met_there(large, low).select(*_ordered("node", "other"))
     return same.union(near).union(small).union(wide).distinct()
 
 
-def _steps() -> Column:
-    return F.array(F.col("step") - 1, "step", F.col("step") + 1)
+def _around(steps: DataFrame) -> DataFrame:
+    """(h, step, near): the nodes that arrays ``x`` of (h, step, x) name for a step and those beside it.
+
+    The rows of the steps are repeated for their neighbours, not those of the nodes.
+    """
+    beside = F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1))
+    return steps.select("h", beside.alias("step"), "x").groupBy("h", "step").agg(F.array_distinct(F.flatten(F.collect_list("x"))).alias("near"))
+
+
+def _met_there(rows: DataFrame, around: DataFrame) -> DataFrame:
+    """(node, other) of rows (h, step, node) and the other nodes near their step."""
+    return rows.join(around, ["h", "step"]).select("node", F.explode(F.filter("near", lambda x: x != F.col("node"))).alias("other"))
 
 
 def _left_apart(met: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b): more pairs for the nodes outside the largest group of many that share a band."""
     large = met.where(F.col("k") > MOST).join(found.withColumnRenamed("root", "group"), "node", "left").select("h", "node", "step", F.coalesce("group", "node").alias("group"))
     top = large.groupBy("h", "group").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "group")).alias("top"))
-    out = large.join(keep(top, "similar-top"), "h").where("group != top.group").select("h", "node", F.explode(_steps()).alias("step"))
-    picks = F.array(*[F.min(F.struct(F.xxhash64("node", "h", F.lit(k)), "node")) for k in range(PICKS)])
-    picks = keep(large.groupBy("h", "step").agg(picks.alias("x")), "similar-picks")
-    return out.join(picks, ["h", "step"]).select("node", F.explode("x.node").alias("other")).where("node != other").select(*_ordered("node", "other")).distinct()
+    out = large.join(keep(top, "similar-top"), "h").where("group != top.group").select("h", "node", "step")
+    picks = F.array(*[F.min(F.struct(F.xxhash64("node", "h", F.lit(k)), "node"))["node"] for k in range(PICKS)])
+    picks = keep(_around(large.groupBy("h", "step").agg(picks.alias("x"))), "similar-picks")
+    return _met_there(out, picks).select(*_ordered("node", "other")).distinct()
 
 
 def groups(nodes: DataFrame, texts: DataFrame, least: float = LEAST, width: int = WIDTH) -> DataFrame:
