@@ -8,7 +8,10 @@ hub, the least of the places whose neighbouring seeds are the most common: an ed
 passage meets the form that most texts have, so links grow with the seeds, not with
 the pairs.  Stretches of ``LEAST`` words whose seeds have many places are linked by
 the hash of all their words as well, so a text meets one that holds the whole stretch,
-however common its parts are.  The links of a pair are anchors; anchors on one
+however common its parts are.  What a text holds beyond the passages found by way of
+hubs is then compared with all: two texts of a passage have ``HALF`` words in a row in
+common, and each such run outside a text's passages meets every other place of it, one
+for all places of equal surroundings.  The links of a pair are anchors; anchors on one
 diagonal are joined, and a Fenwick tree finds the best chains of ordered anchors under
 a gap cost.  Chains are then aligned word by word, and aligned stretches of ``LEAST``
 words whose five-word shingles are similar to ``ALIKE`` are repeated passages of both.
@@ -40,6 +43,14 @@ LEAST, ALIKE = 50, 0.8
 GAP, JOIN, WORTH, ABOUT = 0.2, 24, 12, 64
 #: Seeds on either side, and words they lie within, that tell the forms of a passage apart.
 BESIDE, WITHIN = 3, 30
+#: Words in a row that the texts of any passage have in common: an edit of LEAST words
+#: leaves half of them.  Of the RUN-word runs in them the one of least hash is looked up.
+HALF, RUN = 25, 16
+#: Five-word shingles that two texts of a passage have in common, at least (41 of 46),
+#: less some that their short hashes may confuse.
+COMMON = 36
+#: What is looked up of crowded texts.
+SEEDS, STRETCHES, HALVES = range(3)
 #: Bytes of text in a bucket, about.
 BUCKET = 64 << 20
 #: Bytes of text that a task hashes at once, about.
@@ -167,19 +178,90 @@ def stretches(n: np.ndarray, at: np.ndarray, many: np.ndarray, few: np.ndarray)
     some = last > first
     linked[some] = scarce[last[some]] - scarce[first[some]] + SEED >= WORTH
     w = w[(lone[high] == lone[low]) & ~linked]
-    # hashes of 1, 2, 4 ... words; LEAST is put together from them
-    h, size, out, at = n, 1, np.zeros(len(w), np.uint64), w.copy()
-    while size <= LEAST:
-        if LEAST & size:
+    return _long_hashes(n, w, LEAST).view(np.int64), w
+
+
+def _long_hashes(n: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+    """A hash of the ``most`` words from each of the places ``at``."""
+    # hashes of 1, 2, 4 ... words; those of ``most`` are put together from them
+    h, size, out = n, 1, np.zeros(len(at), np.uint64)
+    while size <= most:
+        if most & size:
             out = (out + h[at]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(31)
             at = at + size
-        if 2 * size <= LEAST:
+        if 2 * size <= most:
             h = (h[:-size] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[size:] + (h[:-size] >> np.uint64(29)))
             h *= np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
         size *= 2
-    return out.view(np.int64), w
+    return out
+
+
+def halves(n: np.ndarray, ends: np.ndarray, many: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hashes, positions, firsts, sizes, runs): where texts' runs of HALF words that seeds of few places do not link are looked up.
+
+    Each such run is looked up by the least of its RUN-word runs; a position stands for
+    the runs from ``first`` on, ``size`` of them, whose hashes ``runs`` holds in a row.
+    ``many`` and ``few`` are the places of seeds that other documents hold.  The seed of
+    each window in a run depends on the run alone, so a run with one that no other
+    document holds is in no other document.
+    """
+    none = np.zeros(0, np.int64)
+    if len(n) < HALF:
+        return (none,) * 5
+    h = _hashes(n)
+    kind = np.zeros(len(h), np.int8)
+    kind[few], kind[many] = 1, 2
+    view = np.lib.stride_tricks.sliding_window_view
+    low = view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
+    lone = np.concatenate([[0], np.cumsum(kind[low] == 0)])
+    windows = HALF - SEED - WINDOW + 2
+    w = np.flatnonzero(lone[windows:] == lone[:-windows])
+    w = w[w + HALF <= ends[np.searchsorted(ends, w, side="right")]]  # within a text
+    scarce = np.flatnonzero(kind == 1)
+    scarce = scarce[np.isin(scarce, low)]
+    first, last = np.searchsorted(scarce, low[w]), np.searchsorted(scarce, low[w + windows - 1], side="right") - 1
+    linked = np.zeros(len(w), bool)
+    some = last > first
+    linked[some] = scarce[last[some]] - scarce[first[some]] + SEED >= WORTH
+    w = w[~linked]
+    if not len(w):
+        return (none,) * 5
+    short = _long_hashes(n, np.arange(len(n) - RUN + 1), RUN)
+    p = view(short, HALF - RUN + 1)[w].argmin(axis=1) + w
+    new = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    out, p, first, size = short[p[new]].view(np.int64), p[new], w[new], w[np.append(new[1:], len(w)) - 1] - w[new] + 1
+    # of words said over and over, the first and the last: what lies beside them tells texts apart
+    order = np.lexsort((p, out))
+    near = (np.diff(out[order]) == 0) & (np.diff(p[order]) < RUN)
+    stays = np.sort(order[~(np.append(near, False) & np.insert(near, 0, False))])
+    out, p, first, size = out[stays], p[stays], first[stays], size[stays]
+    at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+    return out, p, first, size, _long_hashes(n, at, HALF).view(np.int64)
+
+
+def around(n: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the RUN words from each place and of ABOUT words of its text on either side."""
+    power, inverse = _powers(len(n) + 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum((n | np.uint64(1)) * power[: len(n)])])
+    which = np.searchsorted(ends, at, side="right")
+    low, high = np.maximum(at - ABOUT, ends[which - 1]), np.minimum(at + RUN + ABOUT, ends[which])
+    x = (total[high] - total[low]) * inverse[low]
+    x ^= x >> np.uint64(32)
+    x = (x + (at - low).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) + (high - at).astype(np.uint64)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def beside_runs(n: np.ndarray, at: list[int]) -> list[np.ndarray]:
+    """Short hashes of the shingles of the RUN words from each place and of ABOUT words on either side, repeats told apart."""
+    h, out = _hashes(n), []
+    for p in at:
+        some = np.sort(h[max(p - ABOUT, 0) : p + RUN + ABOUT - SEED + 1])
+        new = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+        rank = np.arange(len(some)) - np.repeat(new, np.diff(np.append(new, len(some))))
+        out.append(((some >> np.uint64(24)) + rank.astype(np.uint64) * np.uint64(40503)).astype(np.uint16).view(np.int16))
+    return out
 
 
 def surroundings(at: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -472,47 +554,63 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for some in by_bytes(b, 1, SLICE):
-                wide, hs, cs, ps, size = [np.zeros(0, bool)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+                cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+                size, places = [], []
                 flat, ends = some.column(2).flatten(), some.column(2).offsets.to_numpy()
                 at, hash_, much = (flat.field(f).to_numpy(zero_copy_only=False) for f in range(3))
+                split = [words(t) for t in some.column(1).to_pylist()]
+                n, starts = numbers(split)
+
+                def add(kind: int, h: np.ndarray, c: np.ndarray, p: np.ndarray) -> int:
+                    for col, x in zip(cols, (np.full(len(p), kind), h, c, p)):
+                        col.append(x)
+                    return len(p)
+
                 for k, (x, y) in enumerate(zip((ends - ends[0]).tolist(), (ends[1:] - ends[0]).tolist())):
                     order = np.argsort(at[x:y]) + x
                     p, h, many = at[order].astype(np.int64), hash_[order], much[order]
-                    n = int(many.sum())
-                    hs.append(h[many]), cs.append(surroundings(p, h)[many]), ps.append(p[many]), wide.append(np.zeros(n, bool))
+                    size.append(add(SEEDS, h[many], surroundings(p, h)[many], p[many]))
+                    places.append(p + starts[k])
+                    much[x:y] = many
                     if ranges := crowded(p, many):
-                        found, seen = words(some.column(1)[k].as_py()), set()
+                        found, seen = split[k], set()
                         parts, bounds = numbers([found[low:high] for low, high in ranges])
                         for (low, _), u, v in zip(ranges, bounds[:-1].tolist(), bounds[1:].tolist()):
                             run, q = stretches(parts[u:v], seeds(parts[u:v])[1], p[many] - low, p[~many] - low)
                             new = np.array([z not in seen for z in (q + low).tolist()], bool)  # ranges may overlap
                             run, q = run[new], q[new] + low
                             seen.update(q.tolist())
-                            hs.append(run), cs.append(np.zeros(len(q), np.int64)), ps.append(q), wide.append(np.ones(len(q), bool))
-                            n += len(q)
-                    size.append(n)
-                ids = some.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))
-                cols = [pa.array(np.concatenate(c)) for c in (wide, hs, cs)]
-                yield pa.RecordBatch.from_arrays([*cols, ids, pa.array(np.concatenate(ps).astype(np.int32))], names=["wide", "h", "c", "d", "p"])
-
-    crowd = given.join(held, "d").select("d", "t", "x").mapInArrow(tidy(beside), f"wide boolean, h bigint, c bigint, d {kind}, p int")
+                            size[-1] += add(STRETCHES, run, np.zeros(len(q), np.int64), q)
+                p = np.concatenate([np.zeros(0, np.int64), *places])
+                h, p, first, runs, hashes = halves(n, starts, p[much], p[~much])
+                which = np.searchsorted(starts, p, side="right") - 1
+                add(HALVES, h, around(n, starts, p), p - starts[which])
+                whose = np.concatenate([np.repeat(np.arange(len(size)), size), which])
+                kind, h, c, p = (np.concatenate(x) for x in cols)
+                lead = np.concatenate([np.zeros(sum(size), np.int64), first - starts[which]])
+                upto = np.concatenate([np.zeros(sum(size) + 1, np.int64), np.cumsum(runs)])
+                lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(hashes))
+                arrays = [pa.array(kind.astype(np.int8)), pa.array(h), pa.array(c), some.column(0).take(pa.array(whose)), pa.array(p.astype(np.int32)), pa.array(lead.astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(arrays, names=["kind", "h", "c", "d", "p", "s", "runs"])
+
+    crowd = given.join(held, "d").select("d", "t", "x").mapInArrow(tidy(beside), f"kind tinyint, h bigint, c bigint, d {kind}, p int, s int, runs array<bigint>")
     crowd = keep(crowd, "passage-crowd")
     # the hub of a seed: the least place of its most common surroundings
-    forms = crowd.where("not wide").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "p")).alias("low"))
+    forms = crowd.where(f"kind = {SEEDS}").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "p")).alias("low"))
     hubs = keep(forms.groupBy("h").agg(F.min(F.struct(-F.col("n"), "low")).alias("x")).select("h", F.col("x.low").alias("hub")), "passage-hubs")
     ordered = lambda y: F.when(F.col("d") < y["d"], F.struct(F.struct("d", "p").alias("x"), y.alias("y"))).otherwise(F.struct(y.alias("x"), F.struct("d", "p").alias("y")))
-    many = crowd.where("not wide").join(hubs, "h").where("d != hub.d").select(ordered(F.col("hub")).alias("z"))
+    many = crowd.where(f"kind = {SEEDS}").join(hubs, "h").where("d != hub.d").select(ordered(F.col("hub")).alias("z"))
     many = many.select(*pair(F.col("z.x"), F.col("z.y")), F.lit(SEED).alias("n"))
-    # stretches in a row to one partner on one diagonal are told by the first and the last
-    common = keep(crowd.where("wide").groupBy("h").agg(*ends).where("low.d != high.d"), "passage-runs")
-    runs = crowd.where("wide").join(common, "h").select("d", "p", F.when(F.col("low.d") != F.col("d"), F.col("low")).otherwise(F.col("high")).alias("y"))
-    runs = runs.groupBy("d", F.col("y.d").alias("o"), (F.col("y.p") - F.col("p")).alias("off")).agg(F.min("p").alias("p"), F.max("p").alias("q"))
-    runs = runs.select("d", "o", "off", F.explode(F.array_distinct(F.array("p", "q"))).alias("p")).select("d", "p", F.struct(F.col("o").alias("d"), (F.col("p") + F.col("off")).alias("p")).alias("y"))
-    runs = runs.select(ordered(F.col("y")).alias("z")).select(*pair(F.col("z.x"), F.col("z.y")), F.lit(LEAST).alias("n"))
-    links = few.unionByName(many).unionByName(runs)
-    # gathered per pair: at most FEW + 3 times the places of one text
-    anchors = links.groupBy("a", "b").agg(F.collect_list(F.struct("p", "r", "n")).alias("x"), F.count("*").alias("k"), F.max("n").alias("n")).where(f"k > 1 or n = {LEAST}").select("a", "b", "x")
 
+    def told(runs: DataFrame, n: int) -> DataFrame:
+        """Links of runs (d, p, y) of n words: of those in a row to one partner on one diagonal the first and the last."""
+        runs = runs.groupBy("d", F.col("y.d").alias("o"), (F.col("y.p") - F.col("p")).alias("off")).agg(F.min("p").alias("p"), F.max("p").alias("q"))
+        runs = runs.select("d", "o", "off", F.explode(F.array_distinct(F.array("p", "q"))).alias("p")).select("d", "p", F.struct(F.col("o").alias("d"), (F.col("p") + F.col("off")).alias("p")).alias("y"))
+        return runs.select(ordered(F.col("y")).alias("z")).select(*pair(F.col("z.x"), F.col("z.y")), F.lit(n).alias("n"))
+
+    common = keep(crowd.where(f"kind = {STRETCHES}").groupBy("h").agg(*ends).where("low.d != high.d"), "passage-runs")
+    runs = crowd.where(f"kind = {STRETCHES}").join(common, "h").select("d", "p", F.when(F.col("low.d") != F.col("d"), F.col("low")).otherwise(F.col("high")).alias("y"))
+    links = few.unionByName(many).unionByName(told(runs, LEAST))
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
@@ -530,14 +628,6 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             at = pa.array(list(cols[0]), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *[pa.array(list(c), ints) for c in cols[1:]]], names=["a", "b", "p", "r", "n"])
 
-    found = anchors.mapInArrow(tidy(chain), f"a {kind}, b {kind}, p array<int>, r array<int>, n array<int>")
-    end = lambda c: F.element_at(c, -1) + F.element_at("n", -1)
-    own, lent = _slice(F.element_at("p", 1), end("p")), _slice(F.element_at("r", 1), end("r"))
-    found = keep(found.withColumns({"s": own[0], "e": own[1], "t": lent[0], "f": lent[1]}), "passage-chains")
-    want = found.select(F.col("a").alias("d"), F.struct("s", "e").alias("w")).union(found.select("b", F.struct("t", "f"))).distinct()
-    # gathered per document: a few slices for each power of two
-    texts = given.join(want.groupBy("d").agg(F.collect_list("w").alias("w")), "d").select("d", "t", "w")
-
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
@@ -546,11 +636,6 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 s, e = ([x[c] for x in asked] for c in ("s", "e"))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array([" ".join(w[x:y]) for x, y in zip(s, e)], pa.string())], names=["d", "s", "e", "text"])
 
-    slices = keep(texts.mapInArrow(tidy(fetch), f"d {kind}, s int, e int, text string"), "passage-slices")
-    here = slices.select(F.col("d").alias("a"), "s", "e", F.col("text").alias("here"))
-    there = slices.select(F.col("d").alias("b"), F.col("s").alias("t"), F.col("e").alias("f"), F.col("text").alias("there"))
-    pairs = found.join(here, ["a", "s", "e"]).join(there, ["b", "t", "f"]).select("a", "b", "p", "r", "n", "s", "t", "here", "there")
-
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -565,7 +650,75 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             types = (i, pa.int32(), pa.int32(), i, pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(cols, types)], names=["d", "s", "e", "other", "t", "alike"])
 
-    spans = pairs.mapInArrow(tidy(aligned), f"d {kind}, s int, e int, other {kind}, t int, alike double")
+    def passed(links: DataFrame) -> DataFrame:
+        """(d, s, e, other, t, alike): the passages along the links, in both their documents."""
+        # gathered per pair: at most FEW + 3 times the places of one text, and its runs
+        anchors = links.groupBy("a", "b").agg(F.collect_list(F.struct("p", "r", "n")).alias("x"), F.count("*").alias("k"), F.max("n").alias("n")).where(f"k > 1 or n >= {RUN}").select("a", "b", "x")
+
+        found = anchors.mapInArrow(tidy(chain), f"a {kind}, b {kind}, p array<int>, r array<int>, n array<int>")
+        end = lambda c: F.element_at(c, -1) + F.element_at("n", -1)
+        own, lent = _slice(F.element_at("p", 1), end("p")), _slice(F.element_at("r", 1), end("r"))
+        found = keep(found.withColumns({"s": own[0], "e": own[1], "t": lent[0], "f": lent[1]}), "passage-chains")
+        want = found.select(F.col("a").alias("d"), F.struct("s", "e").alias("w")).union(found.select("b", F.struct("t", "f"))).distinct()
+        # gathered per document: a few slices for each power of two
+        texts = given.join(want.groupBy("d").agg(F.collect_list("w").alias("w")), "d").select("d", "t", "w")
+
+        slices = keep(texts.mapInArrow(tidy(fetch), f"d {kind}, s int, e int, text string"), "passage-slices")
+        here = slices.select(F.col("d").alias("a"), "s", "e", F.col("text").alias("here"))
+        there = slices.select(F.col("d").alias("b"), F.col("s").alias("t"), F.col("e").alias("f"), F.col("text").alias("there"))
+        pairs = found.join(here, ["a", "s", "e"]).join(there, ["b", "t", "f"]).select("a", "b", "p", "r", "n", "s", "t", "here", "there")
+
+        return pairs.mapInArrow(tidy(aligned), f"d {kind}, s int, e int, other {kind}, t int, alike double")
+
+    first = keep(passed(links), "passage-spans")
+    # the rest: a run of HALF words in no passage yet meets all others, one of each surroundings
+    mine = crowd.where(f"kind = {HALVES}").groupBy("d").agg(F.collect_list(F.struct("h", "c", "p", "s", "runs")).alias("x"))
+    had = first.groupBy("d", "s").agg(F.max("e").alias("e")).groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("y"))
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, size = b.column(1).flatten(), np.diff(b.column(1).offsets.to_numpy())
+            h, c, p, s, runs = flat.flatten()
+            n, hashes = np.diff(runs.offsets.to_numpy()), runs.flatten()
+            w = np.arange(n.sum()) + np.repeat(s.to_numpy() - np.cumsum(n) + n, n)  # where each run is
+            upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(size)])]
+            open_ = np.ones(len(w), bool)
+            for x, y, spans in zip(upto[:-1].tolist(), upto[1:].tolist(), b.column(2).to_pylist()):
+                if spans:
+                    known = sorted((z["s"], z["e"]) for z in spans)
+                    far = np.maximum.accumulate(np.array([0, *(e for _, e in known)]))
+                    open_[x:y] = far[np.searchsorted([s for s, _ in known], w[x:y], side="right")] < w[x:y] + HALF
+            left = np.concatenate([[0], np.cumsum(open_)])[np.concatenate([[0], np.cumsum(n)])]
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))
+            lists = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), hashes.filter(pa.array(open_)))
+            yield pa.RecordBatch.from_arrays([h, c, ids, p, runs, lists], names=["h", "c", "d", "p", "runs", "open"])
+
+    halved = mine.join(had, "d", "left").select("d", "x", "y").mapInArrow(tidy(outside), f"h bigint, c bigint, d {kind}, p int, runs array<bigint>, open array<bigint>")
+    halved = keep(halved, "passage-halves")
+    lone = halved.where("size(open) > 0").select("h", "d", "p", "open")
+    each = halved.join(lone.select("h").distinct(), "h", "left_semi").groupBy("h", "c").agg(*ends, F.max("runs").alias("runs"))
+    each = keep(each.select("h", "low", "high", "runs"), "passage-each")
+    want = lone.select("d", "p").union(each.select("low.d", "low.p")).distinct().groupBy("d").agg(F.collect_list("p").alias("p"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                at = b.column(2)[k].as_py()
+                found = beside_runs(numbers([words(b.column(1)[k].as_py())])[0], at)
+                upto = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k] * len(at), pa.int64())), pa.array(at, pa.int32()), lists], names=["d", "p", "near"])
+
+    shingles = given.join(want, "d").select("d", "t", "p").mapInArrow(tidy(near), f"d {kind}, p int, near array<smallint>")
+    shingles = keep(shingles, "passage-near")
+    lone = lone.join(shingles, ["d", "p"])
+    each = each.withColumns({"x": F.col("low.d"), "y": F.col("low.p")}).join(shingles.select(F.col("d").alias("x"), F.col("p").alias("y"), F.col("near").alias("there")), ["x", "y"]).select("h", "low", "high", "runs", "there")
+    # told in the join itself: pairs that have the run but no passage are never rows
+    alike = F.arrays_overlap("open", "runs") & (F.size(F.array_intersect("near", "there")) >= COMMON)
+    other = (F.col("d") != F.col("low.d")) | (F.col("d") != F.col("high.d"))
+    rest = lone.withColumnRenamed("h", "g").join(each, (F.col("g") == F.col("h")) & other & alike)
+    rest = rest.select("d", "p", F.when(F.col("low.d") != F.col("d"), F.col("low")).otherwise(F.col("high")).alias("y"))
+    spans = first.unionByName(passed(told(rest, RUN)))
     # of spans with one start the longest, so that a hub of many has as many as its words at most
     spans = spans.groupBy("d", "s").agg(F.max(F.struct("e", "alike", F.struct("other", "t").alias("o"))).alias("x"))
     spans = spans.select("d", F.struct("s", "x.e", "x.o.other", "x.o.t", "x.alike").alias("x")).groupBy("d").agg(F.collect_list("x").alias("x"))

@@ -350,6 +350,23 @@ def test_passages_of_frequent_lines(spark):
     assert all(abs(r["doc_id"] - r["other_id"]) == 1 and r["n_words"] >= 50 for r in got)
 
 
+def test_passages_edited_among_frequent_lines(spark):
+    """Texts of a passage that share common lines alone, with words changed between them, are compared with each other."""
+    rng = random.Random(18)
+    junk = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for g in range(30):
+        a, b = junk(25 + g % 7), junk(25 + g % 5)
+        for k in range(24):
+            line = a + junk(1) + b if k in (11, 12) else (a if k % 2 else b)
+            rows.append((g * 100 + k, " ".join(junk(20) + line + junk(20))))
+        want |= {g * 100 + 11, g * 100 + 12}
+    rows += [(5000 + k, " ".join(junk(20) + ["la"] * (26 + k % 20) + junk(20))) for k in range(30)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == want
+    assert all(abs(r["doc_id"] - r["other_id"]) == 1 and r["n_words"] >= 50 for r in got)
+
+
 def test_passages_of_many_holders(spark):
     """Frequent passages: exact ones are never lost, edited ones hardly, copies are one row each."""
     rng = random.Random(17)
