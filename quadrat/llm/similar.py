@@ -28,7 +28,8 @@ from quadrat.llm.passages import numbers
 WIDTH, LEAST = 5, 0.8
 #: Bands of a signature, minimum hashes in each.
 BANDS, ROWS = 30, 5
-#: Texts that share a band and are paired; more are compared with the least of their size.
+#: Texts that share a band and are paired; more are compared with the least of their size
+#: first, and those still apart by their rarest shingles.
 MOST = 8
 #: Further rounds for texts left apart from most that share a band, and members of each
 #: size that they meet in each of their bands then.
@@ -146,16 +147,52 @@ def _met_there(rows: DataFrame, around: DataFrame) -> DataFrame:
     return rows.join(around, ["h", "step"]).select("node", F.explode(F.filter("near", lambda x: x != F.col("node"))).alias("other"))
 
 
+def _with_groups(met: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, node, n, step, group) of bands that many share, and those of it outside the largest group of a band."""
+    large = met.where(F.col("k") > MOST).join(found.withColumnRenamed("root", "group"), "node", "left").select("h", "node", "n", "step", F.coalesce("group", "node").alias("group"))
+    top = large.groupBy("h", "group").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "group")).alias("top"))
+    return large, large.join(keep(top, "similar-top"), "h").where("group != top.group").drop("top")
+
+
 def _left_apart(met: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b): more pairs for the nodes outside the largest group of many that share a band."""
-    large = met.where(F.col("k") > MOST).join(found.withColumnRenamed("root", "group"), "node", "left").select("h", "node", "step", F.coalesce("group", "node").alias("group"))
-    top = large.groupBy("h", "group").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "group")).alias("top"))
-    out = large.join(keep(top, "similar-top"), "h").where("group != top.group").select("h", "node", "step")
+    large, out = _with_groups(met, found)
     picks = F.array(*[F.min(F.struct(F.xxhash64("node", "h", F.lit(k)), "node"))["node"] for k in range(PICKS)])
     picks = keep(_around(large.groupBy("h", "step").agg(picks.alias("x"))), "similar-picks")
     return _met_there(out, picks).select(*_ordered("node", "other")).distinct()
 
 
+def _apart(met: DataFrame, found: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """(a, b): all pairs that many share a band with, are of two groups and may be similar.
+
+    Of a set's shingles, rarest first, a similar set holds one of the first ``n - least *
+    n + 1``; the places of the first that two sets have in common bound what they have in
+    common in all, and no pair beyond that bound is left out.
+    """
+    large, out = _with_groups(met, found)
+    out = keep(out.select("h", "node"), "similar-out")
+    mixed = large.join(out.select("h").distinct(), "h", "left_semi").select("node", "n", "group").distinct()
+    mixed = keep(mixed.join(out.select("node", F.lit(True).alias("out")).distinct(), "node", "left").withColumn("out", F.coalesce("out", F.lit(False))), "similar-mixed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for some in by_bytes(b, 1, SLICE):
+                sets = [np.unique(h) for h in _hashed([simhash.words(t) for t in some.column(1).to_pylist()], width)]
+                ids = some.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(sets).view(np.int64))], names=["node", "x"])
+
+    shingles = keep(texts.join(mixed.select("node"), "node", "left_semi").select("node", "t").mapInArrow(tidy(run), "node bigint, x bigint"), "similar-shingles")
+    ranked = shingles.join(shingles.groupBy("x").agg(F.count("*").alias("c")), "x").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("x"))
+    # gathered per document: its own shingles
+    prefix = F.slice("x", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1)
+    first = ranked.join(mixed, "node").select("node", "n", "group", "out", F.posexplode(prefix).alias("at", "x")).where("x.c > 1")
+    first = keep(first.select("node", "n", "group", "out", F.col("x.x").alias("x"), (F.col("n") - F.col("at")).alias("rest")), "similar-first")
+    one = first.where("out").select("x", F.col("node").alias("v"), F.col("n").alias("m"), F.col("group").alias("g"), F.col("rest").alias("u"))
+    may = F.least("rest", "u") >= (F.col("n") + F.col("m")) * F.lit(least / (1 + least)) - 1e-9
+    near = F.least("n", "m") >= F.greatest("n", "m") * F.lit(least) - 1e-9
+    return first.join(one, (first["x"] == one["x"]) & (F.col("group") != F.col("g")) & near & may).select(*_ordered("node", "v")).distinct()
+
+
 def groups(nodes: DataFrame, texts: DataFrame, least: float = LEAST, width: int = WIDTH) -> DataFrame:
     """(node, root): the components of ``nodes`` (node, fp, n, bands) whose ``texts`` (node, t) are similar."""
     met = _placed(nodes, least)
@@ -170,6 +207,12 @@ def groups(nodes: DataFrame, texts: DataFrame, least: float = LEAST, width: int
             break
         asked, edges = asked.union(more), edges.union(new)
         found = components(edges)
+    if not met.where(F.col("k") > MOST).isEmpty():
+        found = keep(found, "similar-found")
+        more = keep(_apart(met, found, texts, least, width).join(asked, ["a", "b"], "left_anti"), "similar-more")
+        new = keep(_verified(more, texts, least, width), "similar-edges")
+        if not new.isEmpty():
+            found = components(edges.union(new))
     return found
 
 
@@ -205,8 +248,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``simhash``); groups are the components.  Texts of equal words are one node, and in
     a band of over ``MOST`` nodes each is compared with the least nodes of like size
     first; nodes that stay apart from most of those they share a band with meet
-    ``PICKS`` more in every band, in rounds while that links any.  So the work follows
-    the texts, not the pairs.
+    ``PICKS`` more in every band, in rounds while that links any, and in the end all
+    of another group that their rarest shingles leave possible.  So the work follows
+    the texts, not the pairs of a group, and no pair of two groups that share a band is left out.
 
     The row of least id stays, a null id only if its group has no other; of repeated
     ids one row stays.  Null, empty and blank texts are alike.  Very long texts are read

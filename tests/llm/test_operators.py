@@ -645,6 +645,27 @@ def test_one_of_each(spark, docs, none, sf_dir):
     assert sorted(r["doc_id"] for r in similar.one_of_each(real_rows).collect()) == sorted(least.values())
 
 
+def test_all_that_share_a_band_are_compared(spark):
+    """Pairs of similar texts among many unlike ones that share a band with both are linked."""
+    rng = random.Random(22)
+    junk = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(3):  # 250 texts similar to 0.77, some in pairs similar to 0.802
+        base = junk(91)
+        for k in range(250):
+            w = base + junk(13)
+            texts.append(w)
+            if k % 10 == 0:
+                texts.append([*w[:-11], *junk(11)])
+    texts = [" ".join(w) for w in texts]
+    rng.shuffle(texts)
+    least = {}
+    for i, g in enumerate(similar_groups(texts)):
+        least.setdefault(g, i)
+    kept = similar.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
+
+
 def test_links_in_crowded_cells(spark):
     rng = random.Random(6)
     base = rng.getrandbits(64)
