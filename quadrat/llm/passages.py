@@ -9,9 +9,11 @@ passage meets the form that most texts have, so links grow with the seeds, not w
 the pairs.  Stretches of ``LEAST`` words whose seeds have many places are linked by
 the hash of all their words as well, so a text meets one that holds the whole stretch,
 however common its parts are.  What a text holds beyond the passages found by way of
-hubs is then compared with all: two texts of a passage have ``HALF`` words in a row in
-common, and each such run outside a text's passages meets every other place of it, one
-for all places of equal surroundings.  The links of a pair are anchors; anchors on one
+hubs is then compared with all: any passage holds a core, two runs of equal words with one
+gap between them that make a passage by themselves, and the longer run has ``HALF`` words
+at least.  Each such run outside a text's passages meets every other place of it, one for
+all places of equal surroundings, word by word, and is linked to those whose cores about
+it reach farthest.  The links of a pair are anchors; anchors on one
 diagonal are joined, and a Fenwick tree finds the best chains of ordered anchors under
 a gap cost.  Chains are then aligned word by word, and aligned stretches of ``LEAST``
 words whose five-word shingles are similar to ``ALIKE`` are repeated passages of both.
@@ -46,9 +48,10 @@ BESIDE, WITHIN = 3, 30
 #: Words in a row that the texts of any passage have in common: an edit of LEAST words
 #: leaves half of them.  Of the RUN-word runs in them the one of least hash is looked up.
 HALF, RUN = 25, 16
-#: Five-word shingles that two texts of a passage have in common, at least (41 of 46),
-#: less some that their short hashes may confuse.
-COMMON = 36
+#: Words of a core's gap at most (the alignment cuts at wider ones), partners linked of those
+#: that reach farthest (one may owe it to equal short hashes), places of a run met at once,
+#: pairs of places compared at once.
+SKIP, BEST, CHUNK, BLOCK = 8, 2, 256, 1 << 15
 #: What is looked up of crowded texts.
 SEEDS, STRETCHES, HALVES = range(3)
 #: Bytes of text in a bucket, about.
@@ -178,7 +181,15 @@ def stretches(n: np.ndarray, at: np.ndarray, many: np.ndarray, few: np.ndarray)
     some = last > first
     linked[some] = scarce[last[some]] - scarce[first[some]] + SEED >= WORTH
     w = w[(lone[high] == lone[low]) & ~linked]
-    return _long_hashes(n, w, LEAST).view(np.int64), w
+    h = _long_hashes(n, w, LEAST).view(np.int64)
+    # of words said over and over, runs that overlap by half and hold all of them
+    order = np.lexsort((w, h))
+    near = (np.diff(h[order]) == 0) & (np.diff(w[order]) < HALF)
+    first = np.flatnonzero(np.insert(~near, 0, True))[: len(w)]
+    half = (w[order] - np.repeat(w[order][first], np.diff(np.append(first, len(w))))) // HALF
+    same = near & (np.diff(half) == 0)
+    stays = np.sort(order[~(np.append(same, False) & np.insert(same, 0, False))]) if len(w) else order
+    return h[stays], w[stays]
 
 
 def _long_hashes(n: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
@@ -199,17 +210,17 @@ def _long_hashes(n: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
 
 
 def halves(n: np.ndarray, ends: np.ndarray, many: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hashes, positions, firsts, sizes, runs): where texts' runs of HALF words that seeds of few places do not link are looked up.
+    """(hashes, positions, firsts, sizes): where texts' runs of HALF words that seeds of few places do not link are looked up.
 
     Each such run is looked up by the least of its RUN-word runs; a position stands for
-    the runs from ``first`` on, ``size`` of them, whose hashes ``runs`` holds in a row.
+    the runs from ``first`` on, ``size`` of them.
     ``many`` and ``few`` are the places of seeds that other documents hold.  The seed of
     each window in a run depends on the run alone, so a run with one that no other
     document holds is in no other document.
     """
     none = np.zeros(0, np.int64)
     if len(n) < HALF:
-        return (none,) * 5
+        return (none,) * 4
     h = _hashes(n)
     kind = np.zeros(len(h), np.int8)
     kind[few], kind[many] = 1, 2
@@ -227,7 +238,7 @@ def halves(n: np.ndarray, ends: np.ndarray, many: np.ndarray, few: np.ndarray) -
     linked[some] = scarce[last[some]] - scarce[first[some]] + SEED >= WORTH
     w = w[~linked]
     if not len(w):
-        return (none,) * 5
+        return (none,) * 4
     short = _long_hashes(n, np.arange(len(n) - RUN + 1), RUN)
     p = view(short, HALF - RUN + 1)[w].argmin(axis=1) + w
     new = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
@@ -236,9 +247,7 @@ def halves(n: np.ndarray, ends: np.ndarray, many: np.ndarray, few: np.ndarray) -
     order = np.lexsort((p, out))
     near = (np.diff(out[order]) == 0) & (np.diff(p[order]) < RUN)
     stays = np.sort(order[~(np.append(near, False) & np.insert(near, 0, False))])
-    out, p, first, size = out[stays], p[stays], first[stays], size[stays]
-    at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-    return out, p, first, size, _long_hashes(n, at, HALF).view(np.int64)
+    return out[stays], p[stays], first[stays], size[stays]
 
 
 def around(n: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -253,15 +262,87 @@ def around(n: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def beside_runs(n: np.ndarray, at: list[int]) -> list[np.ndarray]:
-    """Short hashes of the shingles of the RUN words from each place and of ABOUT words on either side, repeats told apart."""
-    h, out = _hashes(n), []
-    for p in at:
-        some = np.sort(h[max(p - ABOUT, 0) : p + RUN + ABOUT - SEED + 1])
-        new = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
-        rank = np.arange(len(some)) - np.repeat(new, np.diff(np.append(new, len(some))))
-        out.append(((some >> np.uint64(24)) + rank.astype(np.uint64) * np.uint64(40503)).astype(np.uint16).view(np.int16))
-    return out
+def contexts(n: np.ndarray, starts: np.ndarray, stops: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Short hashes of the RUN words from each place and of ABOUT words on either side, 0 beyond its text."""
+    where = at[:, None] + np.arange(-ABOUT, RUN + ABOUT)
+    inside = (where >= starts[:, None]) & (where < stops[:, None])
+    short = np.maximum((n >> np.uint64(48)).astype(np.uint16), 1)
+    return np.where(inside, short[np.where(inside, where, 0)], 0).astype(np.uint16)
+
+
+def _ones(bits: np.ndarray) -> np.ndarray:
+    """How many of the lowest bits are set in a row."""
+    off = ~bits
+    return np.bitwise_count((off & (np.uint64(0) - off)) - np.uint64(1)).astype(np.int64)
+
+
+def _beyond(a: np.ndarray, b: np.ndarray, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(reach, skipped here, skipped there, words, unsure): the core that reaches farthest on one side.
+
+    ``a`` and ``b`` are words outward from a run of which ``x`` of them are part, ``size``
+    words long.  Runs of ``m`` words together about a gap of ``u`` and ``v`` words are
+    similar to ALIKE if ``m >= 40 + 4 * (u + v)``, and the alignment keeps the second if
+    it outweighs the gap.  Without a core the reach is -1; it is unsure where the words
+    that are known end within the second run.
+    """
+    top, us, vs, words_, unsure = (np.full(len(x), k, np.int64) for k in (-1, 0, 0, 0, 0))
+    top[size >= LEAST] = x[size >= LEAST]
+    for shift in range(-SKIP, SKIP + 1):
+        same = np.zeros(a.shape, bool)
+        here, there = (slice(None, ABOUT - shift), slice(shift, None)) if shift >= 0 else (slice(-shift, None), slice(None, ABOUT + shift))
+        same[:, here] = (a[:, here] == b[:, there]) & (a[:, here] != 0)
+        bits = np.packbits(same, axis=1, bitorder="little").view("<u8")[:, 0]
+        for u in range(max(0, -shift), SKIP + 1 - max(0, shift)):
+            v, at = u + shift, x + u
+            if not (u or v):
+                continue
+            r = np.where(at < ABOUT, _ones(np.where(at < ABOUT, bits >> np.minimum(at, ABOUT - 1).astype(np.uint64), np.uint64(0))), 0)
+            wide = EDGE * max(u, v)
+            fits = (r >= wide) & (size > wide)
+            core = fits & (size + r >= max(40 + 4 * (u + v), LEAST - min(u, v)))
+            end = (at + r >= ABOUT) | (x + v + r >= ABOUT)
+            unsure |= (r > 0) & end & ~core & (size > wide)
+            new = core & (at + r > top)
+            top[new], us[new], vs[new], words_[new] = (at + r)[new], u, v, r[new]
+    return top, us, vs, words_, unsure > 0
+
+
+def cores(mine: np.ndarray, theirs: np.ndarray, i: np.ndarray, j: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(pair, here, there, words): anchors, from the places on, of the pairs to link.
+
+    Of the pairs (i, j) of contexts each open run of an ``i`` (bits of ``open_``) has the
+    BEST whose cores reach farthest on either side.
+    """
+    a, b = mine[i], theirs[j]
+    same = (a == b) & (a != 0)
+    stop = np.ones((len(i), 1), bool)
+    x = np.argmax(np.hstack([~same[:, ABOUT + RUN :], stop]), axis=1)
+    y = np.argmax(np.hstack([~same[:, ABOUT - 1 :: -1], stop]), axis=1)
+    low, high = np.maximum(HALF - RUN - y, 0), np.minimum(x, HALF - RUN)
+    hit = np.where(high >= low, open_[i] & ((2 << high) - (1 << low)), 0)
+    some = np.flatnonzero(hit)
+    i, x, y, hit, a, b = i[some], x[some], y[some], hit[some], a[some], b[some]
+    size = x + RUN + y
+    right = _beyond(a[:, ABOUT + RUN :], b[:, ABOUT + RUN :], x, size)
+    left = _beyond(a[:, ABOUT - 1 :: -1], b[:, ABOUT - 1 :: -1], y, size)
+    taken = right[4] & (right[0] < 0) | left[4] & (left[0] < 0)
+    for reach in (right[0], left[0]):
+        for k in range(HALF - RUN + 1):
+            who = np.flatnonzero((reach >= 0) & (hit >> k & 1 > 0))
+            who = who[np.lexsort((-reach[who], i[who]))]
+            for _ in range(BEST if len(who) else 0):
+                first = np.concatenate([[True], np.diff(i[who]) != 0])[: len(who)]
+                taken[who[first]] = True
+                who = who[~first]
+    t = np.flatnonzero(taken)
+    p, q, n = [-y[t]], [-y[t]], [size[t]]
+    for (_, u, v, r, _), sign in ((right, 1), (left, -1)):
+        u, v, r = u[t], v[t], r[t]
+        p.append(RUN + x[t] + u if sign > 0 else -y[t] - u - r)
+        q.append(RUN + x[t] + v if sign > 0 else -y[t] - v - r)
+        n.append(r)
+    pair, p, q, n = np.tile(some[t], 3), np.concatenate(p), np.concatenate(q), np.concatenate(n)
+    return pair[n > 0], p[n > 0], q[n > 0], n[n > 0]
 
 
 def surroundings(at: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -398,24 +479,56 @@ def _runs(a: list[str], b: list[str], chain: list[tuple[int, int, int]]) -> list
     whole = (0, 0), (len(a), len(b))
     runs += _grow(a, b, p - 1, r - 1, -1, *whole) + _grow(a, b, q + n, s + n, 1, *whole)
     runs.sort()
-    return runs
-
+    out = runs[:1]
+    for p, r, n in runs[1:]:  # those that follow each other are one
+        q, s, m = out[-1]
+        if (q + m, s + m) == (p, r):
+            out[-1] = (q, s, m + n)
+        else:
+            out.append((p, r, n))
+    return out
 
-def _shingle_bag(found: list[str]) -> Counter:
-    return Counter(zip(*(found[k:] for k in range(5)))) if len(found) >= 5 else Counter([tuple(found)])
 
+def _alike(a: list[str], b: list[str], runs: list[tuple[int, int, int]]) -> float:
+    """Similarity of the five-word shingles, repeats counted, of the stretches that runs of equal words span.
 
-def _alike(a: list[str], b: list[str]) -> float:
-    if a == b:
-        return 1.0
-    if min(len(a), len(b)) >= 5:  # as a rule no shingle occurs twice
-        x, y = set(zip(a, a[1:], a[2:], a[3:], a[4:])), set(zip(b, b[1:], b[2:], b[3:], b[4:]))
-        if len(x) == len(a) - 4 and len(y) == len(b) - 4:
-            both = len(x & y)
-            return both / (len(x) + len(y) - both)
-    x, y = _shingle_bag(a), _shingle_bag(b)
-    both = sum((x & y).values())
-    return both / (sum(x.values()) + sum(y.values()) - both)
+    Shingles within the runs are in both; of the others those that are equal.
+    """
+    both, rest = 0, []
+    for text, side in ((a, 0), (b, 1)):
+        at, left = runs[0][side], []
+        for run in runs:
+            if run[2] >= 5:
+                both += run[2] - 4 if side else 0
+                left += range(at, run[side])
+                at = run[side] + run[2] - 4
+        left += range(at, runs[-1][side] + runs[-1][2] - 4)
+        rest.append(left)
+    total = [runs[-1][side] + runs[-1][2] - runs[0][side] - 4 for side in (0, 1)]
+    if rest[0] and rest[1]:
+        x, y = (Counter([tuple(t[k : k + 5]) for k in left]) for t, left in zip((a, b), rest))
+        both += sum((x & y).values())
+    return both / (sum(total) - both)
+
+
+def _widest(part: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """First and last run, of EDGE words each, of the stretches of LEAST words and similar to ALIKE that are in no wider one.
+
+    Similar by the shingles within runs.
+    """
+    p, r, n = np.array(part).T
+    upto, out, top = np.concatenate([[0], np.cumsum(np.maximum(n - 4, 0))]), [], -1
+    for at in range(0, len(part), 256):
+        i = slice(at, at + 256)
+        here, there = (p + n)[None, :] - p[i, None], (r + n)[None, :] - r[i, None]
+        both = upto[None, 1:] - upto[:-1][i, None]
+        fits = (np.minimum(here, there) >= LEAST) & (both >= ALIKE * (here + there - 8 - both)) & (n >= EDGE) & (n[i, None] >= EDGE)
+        last = np.where(fits.any(axis=1), len(part) - 1 - fits[:, ::-1].argmax(axis=1), -1)
+        for k, x in enumerate(last.tolist()):
+            if x > top:
+                out.append((at + k, x))
+                top = x
+    return out
 
 
 def align(a: list[str], b: list[str], chain: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
@@ -441,23 +554,30 @@ def align(a: list[str], b: list[str], chain: list[tuple[int, int, int]]) -> list
             top, best = score, len(part)
     parts.append(part[:best])
     out = []
+    whole = len(parts)
     while parts:
         part = parts.pop()
+        uncut, whole = len(parts) < whole, min(whole, len(parts))
         if not part:
             continue
         s, t = part[0][0], part[0][1]
         e, f = part[-1][0] + part[-1][2], part[-1][1] + part[-1][2]
         if min(e - s, f - t) < LEAST:
             continue
-        alike = _alike(a[s:e], b[t:f])
+        alike = _alike(a, b, part)
         if alike >= ALIKE:
             out.append((s, e, t, f, alike))
         elif len(part) > 1:
+            # all that are similar enough, whatever the cuts below leave of them
+            for x, y in _widest(part) if uncut else ():
+                some = part[x : y + 1]
+                p, r, n = some[-1]
+                out.append((some[0][0], p + n, some[0][1], r + n, _alike(a, b, some)))
             # cut at the widest gap, of equal ones at that nearest an end
             cuts = [(max(y[0] - x[0] - x[2], y[1] - x[1] - x[2]), -min(y[0] - s, e - y[0]), k + 1) for k, (x, y) in enumerate(zip(part, part[1:]))]
             k = max(cuts)[2]
             parts += [part[:k], part[k:]]
-    return sorted(out)
+    return sorted(set(out))
 
 
 def merge(spans: list[dict]) -> list[dict]:
@@ -520,7 +640,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Null, empty and short texts have no row, nor do rows without an id.  Very long
     texts are read whole.  Repeated rows of one id are one document, which is no
     partner of itself; different texts of one id are read one after the other, by code
-    point.  An empty table gives an empty result; other columns are ignored.
+    point.  An empty table gives an empty result; other columns are ignored.  A passage
+    begins and ends with EDGE words or more that both texts have, and the run of its core
+    of HALF words or more is always reported; of words beyond an edit that only a further
+    partner has in common some may be left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     given = _by_id(docs, id_col, text_col)
@@ -582,18 +705,17 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                             seen.update(q.tolist())
                             size[-1] += add(STRETCHES, run, np.zeros(len(q), np.int64), q)
                 p = np.concatenate([np.zeros(0, np.int64), *places])
-                h, p, first, runs, hashes = halves(n, starts, p[much], p[~much])
+                h, p, first, runs = halves(n, starts, p[much], p[~much])
                 which = np.searchsorted(starts, p, side="right") - 1
                 add(HALVES, h, around(n, starts, p), p - starts[which])
                 whose = np.concatenate([np.repeat(np.arange(len(size)), size), which])
                 kind, h, c, p = (np.concatenate(x) for x in cols)
                 lead = np.concatenate([np.zeros(sum(size), np.int64), first - starts[which]])
-                upto = np.concatenate([np.zeros(sum(size) + 1, np.int64), np.cumsum(runs)])
-                lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(hashes))
-                arrays = [pa.array(kind.astype(np.int8)), pa.array(h), pa.array(c), some.column(0).take(pa.array(whose)), pa.array(p.astype(np.int32)), pa.array(lead.astype(np.int32)), lists]
+                runs = np.concatenate([np.zeros(sum(size), np.int64), runs])
+                arrays = [pa.array(kind.astype(np.int8)), pa.array(h), pa.array(c), some.column(0).take(pa.array(whose)), pa.array(p.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(runs.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["kind", "h", "c", "d", "p", "s", "runs"])
 
-    crowd = given.join(held, "d").select("d", "t", "x").mapInArrow(tidy(beside), f"kind tinyint, h bigint, c bigint, d {kind}, p int, s int, runs array<bigint>")
+    crowd = given.join(held, "d").select("d", "t", "x").mapInArrow(tidy(beside), f"kind tinyint, h bigint, c bigint, d {kind}, p int, s int, runs int")
     crowd = keep(crowd, "passage-crowd")
     # the hub of a seed: the least place of its most common surroundings
     forms = crowd.where(f"kind = {SEEDS}").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "p")).alias("low"))
@@ -640,11 +762,13 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         for b in batches:
             rows = []
             # texts are read some at a time
-            for x in (x for at in range(0, b.num_rows, 200) for x in b.slice(at, 200).to_pylist()):
-                s, t = x["s"], x["t"]
-                c = [(p - s, r - t, n) for p, r, n in zip(x["p"], x["r"], x["n"])]
-                for p, q, u, v, alike in align(x["here"].split(" "), x["there"].split(" "), c):
-                    rows += [(x["a"], p + s, q + s, x["b"], u + t, alike), (x["b"], u + t, v + t, x["a"], p + s, alike)]
+            for some in (b.slice(at, 200).to_pylist() for at in range(0, b.num_rows, 200)):
+                split = {t: t.split(" ") for t in {x[c] for x in some for c in ("here", "there")}}
+                for x in some:
+                    s, t = x["s"], x["t"]
+                    c = [(p - s, r - t, n) for p, r, n in zip(x["p"], x["r"], x["n"])]
+                    for p, q, u, v, alike in align(split[x["here"]], split[x["there"]], c):
+                        rows += [(x["a"], p + s, q + s, x["b"], u + t, alike), (x["b"], u + t, v + t, x["a"], p + s, alike)]
             cols = list(zip(*rows)) if rows else [[]] * 6
             i = b.schema.field(0).type
             types = (i, pa.int32(), pa.int32(), i, pa.int32(), pa.float64())
@@ -679,46 +803,96 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         for b in batches:
             flat, size = b.column(1).flatten(), np.diff(b.column(1).offsets.to_numpy())
             h, c, p, s, runs = flat.flatten()
-            n, hashes = np.diff(runs.offsets.to_numpy()), runs.flatten()
-            w = np.arange(n.sum()) + np.repeat(s.to_numpy() - np.cumsum(n) + n, n)  # where each run is
-            upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(size)])]
+            n, s = runs.to_numpy().astype(np.int64), s.to_numpy()
+            starts = np.cumsum(n) - n
+            w = np.arange(n.sum()) + np.repeat(s - starts, n)  # where each run is
+            upto = np.concatenate([starts, [len(w)]])[np.concatenate([[0], np.cumsum(size)])]
             open_ = np.ones(len(w), bool)
             for x, y, spans in zip(upto[:-1].tolist(), upto[1:].tolist(), b.column(2).to_pylist()):
                 if spans:
                     known = sorted((z["s"], z["e"]) for z in spans)
                     far = np.maximum.accumulate(np.array([0, *(e for _, e in known)]))
                     open_[x:y] = far[np.searchsorted([s for s, _ in known], w[x:y], side="right")] < w[x:y] + HALF
-            left = np.concatenate([[0], np.cumsum(open_)])[np.concatenate([[0], np.cumsum(n)])]
+            bits = open_.astype(np.int64) << (w - np.repeat(p.to_numpy(), n) + HALF - RUN)
+            left = np.bitwise_or.reduceat(bits, starts) if len(n) else bits
             ids = b.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))
-            lists = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), hashes.filter(pa.array(open_)))
-            yield pa.RecordBatch.from_arrays([h, c, ids, p, runs, lists], names=["h", "c", "d", "p", "runs", "open"])
+            yield pa.RecordBatch.from_arrays([h, c, ids, p, pa.array(left.astype(np.int32))], names=["h", "c", "d", "p", "open"])
 
-    halved = mine.join(had, "d", "left").select("d", "x", "y").mapInArrow(tidy(outside), f"h bigint, c bigint, d {kind}, p int, runs array<bigint>, open array<bigint>")
+    halved = mine.join(had, "d", "left").select("d", "x", "y").mapInArrow(tidy(outside), f"h bigint, c bigint, d {kind}, p int, open int")
     halved = keep(halved, "passage-halves")
-    lone = halved.where("size(open) > 0").select("h", "d", "p", "open")
-    each = halved.join(lone.select("h").distinct(), "h", "left_semi").groupBy("h", "c").agg(*ends, F.max("runs").alias("runs"))
-    each = keep(each.select("h", "low", "high", "runs"), "passage-each")
-    want = lone.select("d", "p").union(each.select("low.d", "low.p")).distinct().groupBy("d").agg(F.collect_list("p").alias("p"))
+    # places of equal surroundings are one; partial minima and maxima
+    each = halved.groupBy("h", "c").agg(*ends, F.bit_or("open").alias("open"))
+    each = keep(each.select("h", "c", "low", "high", "open"), "passage-each")
+    met_by = each.groupBy("h").agg(F.count("*").alias("n"), F.bit_or("open").alias("some"), F.max(F.col("low.d") != F.col("high.d")).alias("two"))
+    met_by = keep(met_by.where("some != 0 and (n > 1 or two)").select("h", F.ceil(F.col("n") / CHUNK).cast("int").alias("m")), "passage-met-by")
+    # gathered per document: at most its own places
+    want = each.join(met_by, "h").select(F.col("low.d").alias("d"), F.struct("h", "c", F.col("low.p").alias("p"), F.xxhash64("low.d").alias("lo"), F.xxhash64("high.d").alias("hi"), "open", "m").alias("x"))
+    want = want.groupBy("d").agg(F.collect_list("x").alias("x"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                at = b.column(2)[k].as_py()
-                found = beside_runs(numbers([words(b.column(1)[k].as_py())])[0], at)
-                upto = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k] * len(at), pa.int64())), pa.array(at, pa.int32()), lists], names=["d", "p", "near"])
-
-    shingles = given.join(want, "d").select("d", "t", "p").mapInArrow(tidy(near), f"d {kind}, p int, near array<smallint>")
-    shingles = keep(shingles, "passage-near")
-    lone = lone.join(shingles, ["d", "p"])
-    each = each.withColumns({"x": F.col("low.d"), "y": F.col("low.p")}).join(shingles.select(F.col("d").alias("x"), F.col("p").alias("y"), F.col("near").alias("there")), ["x", "y"]).select("h", "low", "high", "runs", "there")
-    # told in the join itself: pairs that have the run but no passage are never rows
-    alike = F.arrays_overlap("open", "runs") & (F.size(F.array_intersect("near", "there")) >= COMMON)
-    other = (F.col("d") != F.col("low.d")) | (F.col("d") != F.col("high.d"))
-    rest = lone.withColumnRenamed("h", "g").join(each, (F.col("g") == F.col("h")) & other & alike)
-    rest = rest.select("d", "p", F.when(F.col("low.d") != F.col("d"), F.col("low")).otherwise(F.col("high")).alias("y"))
-    spans = first.unionByName(passed(told(rest, RUN)))
+            for some in by_bytes(b, 0, SLICE):
+                size = np.diff(some.column(1).offsets.to_numpy())
+                h, c, p, lo, hi, left, m = some.column(1).flatten().flatten()
+                n, starts = numbers(list(map(words, some.column(0).to_pylist())))
+                which = np.repeat(np.arange(len(size)), size)
+                for at in range(0, len(which), BLOCK):
+                    k = slice(at, at + BLOCK)
+                    found = contexts(n, starts[which[k]], starts[which[k] + 1], starts[which[k]] + p.to_numpy()[k])
+                    near = pa.Array.from_buffers(pa.binary(found.shape[1] * 2), len(found), [None, pa.py_buffer(found.tobytes())]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(v[k] for v in (h, c, lo, hi, left, m)), near], names=["h", "c", "lo", "hi", "open", "m", "near"])
+
+    shingles = given.join(want, "d").select("t", "x").mapInArrow(tidy(near), "h bigint, c bigint, lo bigint, hi bigint, open int, m int, near binary")
+    # the places of a run in chunks, and each chunk with all of the run
+    chunks = shingles.groupBy("h", "m", F.expr("pmod(xxhash64(c), m)").alias("i")).agg(F.collect_list(F.struct("c", "lo", "hi", "open", "near")).alias("x"))
+    chunks = keep(chunks, "passage-near")
+    asks = chunks.where("m > 1 and exists(x, y -> y.open != 0)").select("h", F.explode(F.expr("sequence(0L, m - 1L)")).alias("i"), "x")
+    asks = asks.join(chunks.where("m > 1").select("h", "i", F.col("x").alias("y")), ["h", "i"]).select("h", "x", "y")
+    asks = chunks.where("m = 1").select("h", "x", F.lit(None).cast(chunks.schema["x"].dataType).alias("y")).union(asks)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(lists) -> tuple[np.ndarray, ...]:
+            c, lo, hi, left, found = lists.flatten().flatten()
+            found = np.frombuffer(b"".join(found.to_pylist()), np.uint16).reshape(-1, RUN + 2 * ABOUT)
+            return *(v.to_numpy() for v in (c, lo, hi, left)), found
+
+        def linked(h, mine, theirs, pairs) -> pa.RecordBatch:
+            k, i, j = (np.concatenate(x) for x in zip(*pairs))
+            # not with the one document that holds both
+            i, j, k = (v[~((mine[1][i] == mine[2][i]) & (theirs[1][j] == theirs[2][j]) & (mine[1][i] == theirs[1][j]) | (mine[0][i] == theirs[0][j]) & (mine[1][i] == mine[2][i]))] for v in (i, j, k))
+            out = [np.zeros(0, np.int64)] * 4
+            if len(i):
+                out = cores(mine[4], theirs[4], i, j, mine[3])
+            pair, p, q, n = out
+            arrays = [h[k[pair]], mine[0][i[pair]], theirs[0][j[pair]], *(v.astype(np.int32) for v in (p, q, n))]
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], names=["h", "c", "e", "u", "v", "n"])
+
+        for whole in batches:
+            # some rows at a time
+            for b in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+                h, x, y = b.column(0).to_numpy(), b.column(1), b.column(2)
+                mine, ends = parts(x), x.offsets.to_numpy() - x.offsets[0].as_py()
+                alone = y.is_null().to_numpy(zero_copy_only=False)
+                others, stops = parts(y), y.offsets.to_numpy() - y.offsets[0].as_py()
+                theirs = tuple(np.concatenate(v) for v in zip(mine, others))
+                pairs, held = [], 0
+                for k in range(b.num_rows):
+                    i = np.flatnonzero(mine[3][ends[k] : ends[k + 1]]) + ends[k]
+                    j = np.arange(ends[k], ends[k + 1]) if alone[k] else np.arange(stops[k], stops[k + 1]) + ends[-1]
+                    pairs.append((np.full(len(i) * len(j), k), np.repeat(i, len(j)), np.tile(j, len(i))))
+                    held += len(i) * len(j)
+                    if held >= BLOCK:
+                        yield linked(h, mine, theirs, pairs)
+                        pairs, held = [], 0
+                if pairs:
+                    yield linked(h, mine, theirs, pairs)
+
+    found = keep(asks.mapInArrow(tidy(meet), "h bigint, c bigint, e bigint, u int, v int, n int"), "passage-cores")
+    rest = found.join(halved.where("open != 0").select("h", "c", "d", "p"), ["h", "c"]).join(each.select("h", F.col("c").alias("e"), "low", "high"), ["h", "e"])
+    rest = rest.withColumn("y", F.when(F.col("low.d") != F.col("d"), F.col("low")).otherwise(F.col("high"))).where("y.d != d")
+    rest = rest.select("d", (F.col("p") + F.col("u")).alias("p"), F.struct("y.d", (F.col("y.p") + F.col("v")).alias("p")).alias("y"), "n")
+    rest = rest.select(ordered(F.col("y")).alias("z"), "n").select(*pair(F.col("z.x"), F.col("z.y")), "n").distinct()
+    spans = first.unionByName(passed(rest))
     # of spans with one start the longest, so that a hub of many has as many as its words at most
     spans = spans.groupBy("d", "s").agg(F.max(F.struct("e", "alike", F.struct("other", "t").alias("o"))).alias("x"))
     spans = spans.select("d", F.struct("s", "x.e", "x.o.other", "x.o.t", "x.alike").alias("x")).groupBy("d").agg(F.collect_list("x").alias("x"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import random
 import re
 import zlib
@@ -418,6 +419,53 @@ def test_passages_of_many_holders(spark):
         assert a[r["start_word"] : r["start_word"] + 4] == b[r["other_start"] : r["other_start"] + 4] and r["doc_id"] != r["other_id"]
 
 
+def test_passages_of_near_copies_grow_with_the_rows(spark, monkeypatch):
+    """Of texts with edits all over, the longer run of every core is found, by links that grow with the texts and not with their pairs."""
+    rng = random.Random(19)
+    junk = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    base = junk(150)
+    texts = [[w if rng.random() > 0.07 else junk(1)[0] for w in base] for _ in range(160)]
+    before = [rng.randrange(30) for _ in texts]
+    rows = [(k, " ".join(junk(x) + t + junk(9))) for k, (t, x) in enumerate(zip(texts, before))]
+    # what one run of 150 "la" has in common with one of 60 is found in whole
+    rows += [(1000, " ".join(junk(9) + ["la"] * 150 + junk(9))), (1001, " ".join(junk(9) + ["la"] * 60 + junk(9)))]
+    want = [set() for _ in texts]
+    for a in range(len(texts)):
+        for b in range(len(texts)):
+            runs, at = [], 0
+            for same, g in itertools.groupby(x == y for x, y in zip(texts[a], texts[b])):
+                n = len(list(g))
+                runs += [(at, n)] if same else []
+                at += n
+            for (p, n), (q, m) in zip(runs, runs[1:]):
+                gap = q - p - n
+                if a != b and n + m >= 40 + 8 * gap and n + gap + m >= 50 and min(n, m) >= 5 * gap and max(n, m) >= 25:
+                    want[a] |= set(range(p, p + n) if n >= m else range(q, q + m))
+    chains, keep = [], passages.keep
+    monkeypatch.setattr(passages, "keep", lambda df, what: (kept := keep(df, what), chains.append(kept.count()) if what == "passage-chains" else None)[0])
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {}
+    for r in got:
+        assert r["n_words"] >= 50 and r["similarity"] >= 0.8
+        found.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["start_word"] + r["n_words"]))
+    assert sum(map(len, want)) > 5000
+    assert [k for k, w in enumerate(want) if not w <= {x - before[k] for x in found.get(k, ())}] == []
+    assert found[1000] >= set(range(9, 159)) and found[1001] == set(range(9, 69))
+    assert sum(chains) <= 8 * len(rows)
+
+
+def test_alignment_keeps_what_lies_between_edits():
+    """Two runs that make a passage are kept though cuts at the widest gaps of their neighbours would part them."""
+    a, b, at = [], [], None
+    for k, n in enumerate((13, 13, 25, 11, 37, 26, 13, 5, 43)):
+        at = (len(a), 64) if n == 37 else at
+        run = [f"w{k}.{x}" for x in range(n)]
+        a += [*run, f"a{k}"]
+        b += [*run, f"b{k}"]
+    found = passages.align(a, b, [(at[0], at[0], 37), (at[0] + 38, at[0] + 38, 26)])
+    assert any(s <= at[0] and e >= at[0] + 64 and alike >= 0.8 for s, e, _, _, alike in found)
+
+
 def test_fenwick():
     rng = random.Random(1)
     tree, plain = [(0.0, -1)] * 33, {}
