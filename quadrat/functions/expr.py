@@ -3,7 +3,8 @@
 An expression is a recipe: given a :class:`Scope` it returns a ``Column``.  The
 scope knows the frame's row order (physical order is a column here) and the
 partition a window runs over.  Aggregates outside ``over`` become one aggregation
-whose single row is joined back, never a window over one partition.
+whose single row is joined back, never a window over one partition.  Values that
+change places within a group move as rows, never as an array of the group.
 """
 
 from __future__ import annotations
@@ -22,14 +23,30 @@ from quadrat.errors import MethodError
 INDEX = "__row_index"
 
 
+@dataclass
+class Move:
+    """Each row's ``value`` goes to the row of its group that is at ``place`` in the rows' order, from 1.
+
+    Moves of one ``order`` and partition go to the same places; those of a
+    ``layer`` need values that the layers before have moved.
+    """
+
+    partition: tuple[str, ...]
+    order: tuple
+    place: Column
+    value: Column
+    layer: int
+
+
 @dataclass
 class Scope:
-    """What compiling an expression may need; ``scalars`` collects whole-frame aggregates."""
+    """What compiling an expression may need; ``scalars`` collects whole-frame aggregates, ``moves`` values that change places."""
 
     partition: tuple[str, ...] = ()
     in_agg: bool = False
     scalars: dict[str, Column] = field(default_factory=dict)
     uses_index: bool = False
+    moves: dict[str, Move] = field(default_factory=dict)
 
     @property
     def index(self) -> Column:
@@ -45,6 +62,18 @@ class Scope:
         self.scalars[name] = value
         return F.col(name)
 
+    def moved(self, expr: Expr, order: tuple, place: Callable[[Column], Column], value: Callable[[Column], Column] = lambda c: c) -> Column:
+        """``value`` of ``expr`` where ``place`` of it, a number within the group, says."""
+        known = len(self.moves)
+        c = expr.build(self)
+        layer = 1 + max([m.layer for m in list(self.moves.values())[known:]], default=-1)
+        name = f"__moved_{len(self.moves)}"
+        self.moves[name] = Move(self.partition, order, place(c), value(c), layer)
+        return F.col(name)
+
+    def at(self) -> Column:
+        return F.row_number().over(self.ordered())
+
     def ordered(self):
         return Window.partitionBy(*self.partition).orderBy(self.index)
 
@@ -406,7 +435,7 @@ class Expr:
         cols = tuple(p.name if isinstance(p, Expr) else p for p in partition_by)
 
         def build(s: Scope) -> Column:
-            inner = Scope(cols, s.in_agg, s.scalars)
+            inner = Scope(cols, s.in_agg, s.scalars, moves=s.moves)
             out = self.build(inner)
             s.uses_index |= inner.uses_index
             return out
@@ -691,47 +720,32 @@ class Expr:
     def explode(self) -> Expr:
         return Expr(lambda s: F.explode_outer(self.build(s)), self.name, "explode")
 
-    # whole columns, by position: the values are put at the places of the new order
-    def sort(self, descending: bool = False, nulls_last: bool = False) -> Expr:
-        def build(s: Scope) -> Column:
-            c = self.build(s)
-            at = F.row_number().over(s.ordered()) - 1
-            full = Window.partitionBy(*s.partition)
-            v = F.sort_array(F.collect_list(c).over(full), not descending)
-            lost = F.count_if(c.isNull()).over(full)
-            return F.get(v, at.cast("int")) if nulls_last else F.when(at < lost, None).otherwise(F.get(v, (at - lost).cast("int")))
+    # whole columns, by position: each value moves to the row at its place in the new order
+    def _sorted(self, descending: bool, nulls_last: bool, value: Callable[[Scope], Callable[[Column], Column]]) -> Expr:
+        def place(s: Scope) -> Callable[[Column], Column]:
+            name = f"{'desc' if descending else 'asc'}_nulls_{'last' if nulls_last else 'first'}"
+            return lambda c: F.row_number().over(Window.partitionBy(*s.partition).orderBy(getattr(c, name)(), s.index))
 
-        return Expr(build, self.name)
-
-    def arg_sort(self, descending: bool = False, nulls_last: bool = False) -> Expr:
-        """Positions in sorted order, each at its place."""
+        return Expr(lambda s: s.moved(self, (self.build, descending, nulls_last), place(s), value(s)), self.name)
 
-        def whole(s: Scope) -> Column:
-            c = self.build(s)
-            at = F.row_number().over(s.ordered()) - 1
-            key = F.struct(_sort_key(c, descending, nulls_last), s.index.alias("i"))
-            full = Window.partitionBy(*s.partition)
-            first = F.min(s.index).over(full)
-            order = F.array_sort(F.collect_list(key).over(full))
-            return F.get(F.transform(order, lambda x: x["i"] - first), at.cast("int"))
+    def sort(self, descending: bool = False, nulls_last: bool = False) -> Expr:
+        return self._sorted(descending, nulls_last, lambda s: lambda c: c)
 
-        return Expr(whole, self.name)
+    def arg_sort(self, descending: bool = False, nulls_last: bool = False) -> Expr:
+        """Positions within the group, from 0, in sorted order, each at its place; equal values in the rows' order."""
+        return self._sorted(descending, nulls_last, lambda s: lambda c: (s.at() - 1).cast("bigint"))
 
     def reverse(self) -> Expr:
         def build(s: Scope) -> Column:
-            c, full = self.build(s), Window.partitionBy(*s.partition)
-            at = F.row_number().over(s.ordered()) - 1
-            v = F.sort_array(F.collect_list(F.struct(s.index.alias("i"), c.alias("v"))).over(full), False)
-            return F.get(F.transform(v, lambda x: x["v"]), at.cast("int"))
+            count = F.count(F.lit(1)).over(Window.partitionBy(*s.partition))
+            return s.moved(self, ("reverse",), lambda c: (count + 1 - s.at()).cast("int"))
 
         return Expr(build, self.name)
 
     def shuffle(self, seed: int | None = None) -> Expr:
         def build(s: Scope) -> Column:
-            c, full = self.build(s), Window.partitionBy(*s.partition)
-            at = F.row_number().over(s.ordered()) - 1
-            v = F.array_sort(F.collect_list(F.struct(F.xxhash64(s.index, F.lit(seed or 0)).alias("k"), c.alias("v"))).over(full))
-            return F.get(F.transform(v, lambda x: x["v"]), at.cast("int"))
+            w = Window.partitionBy(*s.partition).orderBy(F.xxhash64(s.index, F.lit(seed or 0)), s.index)
+            return s.moved(self, ("shuffle", seed or 0), lambda c: F.row_number().over(w))
 
         return Expr(build, self.name)
 
@@ -767,12 +781,6 @@ def _shifted(replacement: str) -> str:
     return re.sub(r"\$(\d+)", lambda m: f"${int(m[1]) + 1}", replacement)
 
 
-def _sort_key(c: Column, descending: bool, nulls_last: bool) -> Column:
-    empty = F.when(c.isNull(), 1 if nulls_last else -1).otherwise(0)
-    value = -c.cast("double") if descending else c
-    return F.struct(empty.alias("n"), value.alias("v")).alias("k")
-
-
 # constructors
 def col(name: str) -> Expr:
     return Expr(lambda s: F.col(f"`{name}`" if "." in name else name), name)
@@ -880,5 +888,27 @@ def compute(df: DataFrame, exprs: dict[str, Expr | Column | Any]) -> DataFrame:
     if scope.scalars:
         # one row, whatever the frame's size
         df = df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in scope.scalars.items()])))
+    for layer, partition in sorted({(m.layer, m.partition) for m in scope.moves.values()}):
+        df = _moved(df, partition, {n: m for n, m in scope.moves.items() if (m.layer, m.partition) == (layer, partition)})
     out = df.withColumns(built)
     return out.select(*[f"`{c}`" for c in dict.fromkeys([*before, *built])])
+
+
+def _moved(df: DataFrame, partition: tuple[str, ...], moves: dict[str, Move]) -> DataFrame:
+    """``df`` with moved values as columns: a row is written for itself and for each order, and in order of places every row has its values right behind it.
+
+    The places of an order are a permutation of the group's rows, so each place has
+    one row of every copy.  One shuffle by the group serves all sorts.
+    """
+    orders: dict[tuple, Column] = {}
+    for m in moves.values():
+        orders.setdefault(m.order, m.place)
+    here = F.row_number().over(Window.partitionBy(*partition).orderBy(INDEX))
+    places = {f"__place_{k}": c for k, c in enumerate([here, *orders.values()])}
+    df = df.withColumns(places | {f"__value{n}": m.value for n, m in moves.items()})
+    copies = F.array(*[F.struct(F.col(p).alias("place"), F.lit(k).alias("copy")) for k, p in enumerate(places)])
+    df = df.withColumn("__to", F.explode(copies)).drop(*places)
+    w = Window.partitionBy(*partition).orderBy("__to.place", "__to.copy")
+    behind = {o: k for k, o in enumerate(orders, 1)}
+    df = df.withColumns({n: F.lead(f"__value{n}", behind[m.order]).over(w) for n, m in moves.items()})
+    return df.where("__to.copy = 0").drop("__to", *[f"__value{n}" for n in moves])

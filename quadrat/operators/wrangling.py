@@ -18,7 +18,9 @@ def _list(x) -> list[str]:
 
 def _names_in(expr: Expr, known: set[str]) -> set[str]:
     """Columns of ``known`` that an expression mentions, read from its plan text."""
-    text = str(expr.build(Scope())._jc.toString()) if isinstance(expr, Expr) else ""
+    scope = Scope()
+    found = [expr.build(scope), *scope.scalars.values(), *[c for m in scope.moves.values() for c in (m.place, m.value)]]
+    text = " ".join(str(c._jc.toString()) for c in found)
     return {k for k in known if re.search(rf"(?<![\w`]){re.escape(k)}(?![\w])", text)}
 
 

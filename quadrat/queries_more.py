@@ -164,8 +164,7 @@ WITH e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user
 SELECT a.event_id, b.value AS sorted, c.value AS turned, b.i - 1 AS at FROM e AS a JOIN e AS b ON a.user_id = b.user_id AND a.i = b.k JOIN e AS c ON a.user_id = c.user_id AND a.i = c.j""",
 )
 def expr_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``arg_sort`` counts from the first row of a group in order of the rows, so the rows of a group must follow each other."""
-    df = read(spark, sf_dir, "events").orderBy("user_id", "event_id").coalesce(1)
+    df = read(spark, sf_dir, "events").orderBy("event_id")
     v = col("value")
     return made(df, ["event_id"], sorted=v.sort().over("user_id"), turned=v.reverse().over("user_id"), at=v.arg_sort().over("user_id"))
 
