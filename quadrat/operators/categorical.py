@@ -13,7 +13,7 @@ from quadrat.design import names
 from quadrat.errors import MethodError
 from quadrat.functions import dist
 from quadrat.operators.estimation import Estimation, Prepared, listed
-from quadrat.plans.units import Frame, equal, grouped, unit_sums, variances
+from quadrat.plans.units import Frame, equal, grouped, root, unit_sums, variances
 
 
 def level_key(v) -> tuple:
@@ -162,7 +162,7 @@ class Categorical:
         t = dist.t_ppf(1 - alpha / 2, df) if df else math.nan
         out = []
         for k, (r, c) in enumerate(cells):
-            se = math.sqrt(max(V[k, k], 0.0))
+            se = root(V[k, k])
             if units == "count" or not 0 < est[k] < 1:
                 lo, hi = (est[k] - t * se, est[k] + t * se) if units == "count" else (est[k], est[k])
             else:
@@ -218,7 +218,7 @@ class Categorical:
         for r in got.where("t_n > 0").collect():
             d = r.asDict()
             mean = lambda k: d[f"t_y{k}"] / d[f"t_w{k}"] if d[f"t_w{k}"] else math.nan
-            out.append({**d, "m0": mean(0), "m1": mean(1), "se": math.sqrt(d["var_d"] or 0.0), "se0": math.sqrt(d["var_a"] or 0.0), "se1": math.sqrt(d["var_b"] or 0.0), "df": d["df_d"]})
+            out.append({**d, "m0": mean(0), "m1": mean(1), "se": root(d["var_d"] or 0.0), "se0": root(d["var_a"] or 0.0), "se1": root(d["var_b"] or 0.0), "df": d["df_d"]})
         return out
 
     # ---- rank tests --------------------------------------------------------

@@ -12,7 +12,7 @@ from quadrat.design import names
 from quadrat.errors import MethodError, MissingValueError
 from quadrat.functions import dist
 from quadrat.plans.prefix import running
-from quadrat.plans.units import Frame, equal, grouped, unit_sums, variances
+from quadrat.plans.units import Frame, equal, grouped, root, unit_sums, variances
 from quadrat.plans.where import missing, predicate
 
 CI_METHODS = {"logit": "logit", "beta": "beta", "clopper-pearson": "beta", "korn-graubard": "korn-graubard", "kg": "korn-graubard", "wilson": "wilson", "score": "wilson"}
@@ -86,7 +86,7 @@ def interval(r: dict, alpha: float, kind: str) -> dict:
     """cv, lci and uci of one estimate."""
     est, se, df = r.get("est"), r.get("se"), r.get("df")
     nan = math.nan
-    if est is None or se is None:
+    if est is None or se is None or math.isnan(se):
         return {"cv": nan, "lci": nan, "uci": nan}
     cv = math.inf if est == 0 else se / est
     if not df or df <= 0:
@@ -232,7 +232,7 @@ class Estimation:
             v = F.col(f"var_i{j}")
             if prep.frame.singleton == "scale" and scale is not None:
                 v = v * (1 / (1 - scale) if kind == "total" else (1 - scale))
-            computed = {"est": est, "se": F.sqrt(F.greatest(v, F.lit(0.0))), "var": v, "df": F.col(f"df_i{j}"), "n": t("n"), "n_psus": F.col(f"psus_i{j}"), "n_strata": F.col(f"strata_i{j}")}
+            computed = {"est": est, "se": F.sqrt(F.coalesce(v, F.lit(0.0))), "var": v, "df": F.col(f"df_i{j}"), "n": t("n"), "n_psus": F.col(f"psus_i{j}"), "n_strata": F.col(f"strata_i{j}")}
             if deff:
                 computed["deff"] = _deff(kind, t, est, v, deff)
             out.append((it["fixed"], computed))
@@ -512,7 +512,7 @@ class Estimation:
         for r in rows:
             t = dist.t_ppf(1 - alpha / 2, r["df_i0"]) if r["df_i0"] else math.nan
             for j, p in enumerate(ps):
-                half = t * math.sqrt(max(r[f"var_i{j}"] or 0.0, 0.0))
+                half = t * root(r[f"var_i{j}"] or 0.0)
                 lo, hi = (min(max(p - half, 0.0), 1.0), min(max(p + half, 0.0), 1.0)) if half == half else (None, None)
                 levels.append((*[r[b] for b in by], j, p, r[f"q{j}"], lo, hi, int(r["df_i0"]), int(r["t_n"]), t if t == t else None))
         schema = ", ".join([*[f"`{b}` {kinds[b]}" for b in by], "__j int", "p double", "est double", "lo double", "hi double", "df bigint", "n bigint", "t double"])

@@ -8,6 +8,7 @@ enter by their number, so the domain's table never has to be filled up.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -63,7 +64,7 @@ def unit_sums(frame: Frame, sums: dict[str, Column]) -> DataFrame:
 
 
 def sizes(units: DataFrame, frame: Frame) -> DataFrame:
-    """One row per stratum: its number of PSUs ``m`` over the whole design, and the FPC."""
+    """One row per stratum: its number of PSUs ``m`` over the whole design, and the FPC, below zero if the population is smaller than the sample."""
     if frame.psus:
         keys = [*frame.strata, *frame.psus]
         one = units.groupBy(*keys).agg(*([F.max("__N").alias("__N")] if frame.fpc_psu else [F.lit(1).alias("__one")]))
@@ -71,10 +72,15 @@ def sizes(units: DataFrame, frame: Frame) -> DataFrame:
         one = units
     aggs = [F.count(F.lit(1)).alias("m")] + ([F.max("__N").alias("__N")] if frame.fpc_psu else [])
     out = grouped(one, frame.strata, aggs)
-    fpc = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("__N") - F.col("m")) / F.col("__N"))) if frame.fpc_psu else F.lit(1.0)
+    fpc = F.least(F.lit(1.0), (F.col("__N") - F.col("m")) / F.col("__N")) if frame.fpc_psu else F.lit(1.0)
     return out.withColumn("fpc", fpc).drop("__N")
 
 
+def root(variance: float) -> float:
+    """A standard error; NaN for a negative variance, of a population smaller than its sample."""
+    return math.sqrt(variance) if variance >= 0 else math.nan
+
+
 def check_lone(per_stratum: DataFrame, frame: Frame) -> None:
     """Lone-PSU strata are an error unless they were handled."""
     if frame.singleton or not frame.strata:
@@ -110,7 +116,7 @@ def variances(units: DataFrame, frame: Frame, totals: DataFrame, scores: dict[st
         inner += [F.max(f"a_{n}").alias(f"a_{n}") for n in active]
         psu = scored.groupBy(*keys, *frame.psus).agg(*inner)
         psu = equal(psu, ssu_count, [*frame.strata, *frame.psus])
-        f2 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("__M") - F.col("mm")) / F.col("__M"))) if frame.fpc_ssu else F.lit(1.0)
+        f2 = F.least(F.lit(1.0), (F.col("__M") - F.col("mm")) / F.col("__M")) if frame.fpc_ssu else F.lit(1.0)
         spread = lambda n: F.when(F.col("mm") > 1, f2 * F.col("mm") / (F.col("mm") - 1) * zeros_too(F.col("k"), F.col(f"v_{n}"), F.col(f"s_{n}"), F.col("mm"))).otherwise(0.0)
         scored = psu.select(*keys, *frame.psus, *[F.col(f"s_{n}").alias(f"z_{n}") for n in names], *[F.col(f"a_{n}") for n in active], *[spread(n).alias(f"w_{n}") for n in names])
         within = True
