@@ -285,7 +285,7 @@ class Expr:
         return self._two(exponent, F.pow)
 
     def round(self, decimals: int = 0) -> Expr:
-        return self._map(lambda c: F.round(c, decimals))
+        return self._map(lambda c: _rounded(c, decimals))
 
     def floor(self) -> Expr:
         return self._map(lambda c: F.floor(c).cast("double"))
@@ -772,6 +772,24 @@ def _log(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.when(c == 0, float("-inf")).when(c < 0, float("nan")).otherwise(f(c))
 
 
+def _rounded(c: Column, decimals: int) -> Column:
+    """Round as SQL engines do floats: by the whole number nearest to the float ``c * 10 ** decimals``, half away from zero.
+
+    Spark rounds the shortest decimal digits of ``c``, which falls on the other side where the
+    product is rounded across the middle of two results.  The type of ``c`` stays.
+    """
+
+    def whole(x: Column) -> Column:
+        x = x.cast("double")
+        return F.round(x * 10.0**decimals if decimals >= 0 else x / 10.0**-decimals)
+
+    def one(x: Column) -> Column:
+        near = F.round(x, decimals)
+        return F.when(whole(x) == whole(near), near).otherwise(F.round(x - (near - x), decimals))
+
+    return F.get(F.transform(F.array(c), one), 0)  # a variable, so that windows in c run once
+
+
 def _quoted(text: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
 

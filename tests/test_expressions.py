@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quadrat.functions.expr import col
+from quadrat.functions.expr import col, compute
 from quadrat.sample import Sample
 
 
@@ -36,3 +36,19 @@ def test_specs_see_each_other_through_moved_values(spark):
     df = spark.createDataFrame([(1, 5), (1, 3), (2, 4)], "g int, x int").coalesce(1)
     out = Sample(df).wrangling.mutate({"low": col("z").sort().over("g"), "z": col("x") * 10, "mean": col("z").mean()}).data
     assert sorted(map(tuple, out.select("g", "x", "low", "z", "mean").collect())) == [(1, 3, 50, 30, 40.0), (1, 5, 30, 50, 40.0), (2, 4, 40, 40, 40.0)]
+
+
+def test_round_is_that_of_sql(spark):
+    """Quotients near the middle of two results, where decimal digits and the float product disagree."""
+    import duckdb
+
+    values = [a / b - 1 for b in (5.12, 10.24, 51.2, 102.4) for a in (k / 100 for k in range(1, 6000, 7))] + [2.675, 1.005, -0.285, 1e300, 0.49999999999999994, float("inf"), None]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, x double").coalesce(1)
+    out = compute(df, {"nine": col("x").round(9), "two": col("x").round(2), "zero": col("x").round(), "tens": (col("x") * 1000).round(-1), "whole": col("id").round(1)})
+    assert dict(out.dtypes)["whole"] == "int"
+    got = sorted(map(tuple, out.select("id", "nine", "two", "zero", "tens", "whole").collect()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (id INT, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values)))
+    want = con.execute("SELECT id, round(x, 9), round(x, 2), round(x, 0), round(x * 1000, -1), id FROM t ORDER BY id").fetchall()
+    assert [(a, b) for a, b in zip(got, want) if a != b] == []

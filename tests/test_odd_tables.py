@@ -38,3 +38,11 @@ def test_population_below_the_sample_has_no_standard_error(spark, n):
     assert row["est"] == 1.25
     assert row["se"] == pytest.approx(expected, nan_ok=True)
     assert math.isnan(row["lci"]) == (n < 3)
+
+
+def test_running_changes_at_ties(spark, tmp_path):
+    """Quotients by 51.2 and 102.4 end at the tenth digit with a 5."""
+    pairs = [(38.03, 51.2), (49.82, 102.4), (49.42, 102.4), (3.01, 10.24), (0.0, 10.24), (5.0, 0.0)]
+    rows = [(2 * k + j, k, "view", x) for k, (v, before) in enumerate(pairs) for j, x in enumerate((before, v))]
+    got, want = both(spark, tmp_path, "expr_running", events=spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double"))
+    assert got == want
